@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simvane.llm import chat, knn, lines, mixing, pieces, quality, shards
+from simvane.llm import chat, knn, lines, mixing, neardup, pieces, quality, shards
 from simvane.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -42,7 +42,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op5_voronoi_knn, op6_bounded_ring, op7_source_mix, op8_chat_snapshots, op9_sentencepiece)}
+def op10_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op5_voronoi_knn, op6_bounded_ring, op7_source_mix, op8_chat_snapshots, op9_sentencepiece, op10_sketch_neardup)}
 
 _WORD = r"[^\x20\x09-\x0D]"
 
