@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from simvane.llm import lines, mixing, pieces, quality
+from simvane.llm import lines, mixing, neardup, pieces, quality
 from simvane.llm.common import shared_folder, stored, table
 from simvane.llm.queries import PIECE_MODEL
 
@@ -25,6 +25,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.dedup_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return neardup.drop_near_duplicates(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mix_documents(docs)
@@ -35,7 +40,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pieces.encoding_digests(docs, public_tokenizers.path(PIECE_MODEL))
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("source_mix", source_mix), ("sentencepiece", sentencepiece)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("sentencepiece", sentencepiece)]
 
 ORACLE_SQL = None
 

@@ -47,13 +47,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simvane.llm import textkit as K
 from simvane.llm.common import NO_ID, drop_folder, id_or_last, per_batch, shared_folder, stored, text_mark
 
 BANDS, ROWS = 40, 5
+SHINGLE = 5
 BLOCK = 1000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LATE = np.uint64(2**64 - 1)
@@ -190,7 +191,7 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 4, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept, and mark (64 bits of the text).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B|; a component's id is its
@@ -340,3 +341,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 4, bands:
     given = F.when(F.col("d") != NO_ID, F.col("d"))
     component = F.coalesce(F.col("least"), F.col("d"))
     return out.select(given.alias("doc_id"), "n_shingles", F.when(component != NO_ID, component).alias("component_id"), (F.col("d") == component).alias("kept"), "mark")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs, with all their columns, of which one stays of each group: the one with the smallest id, and one of its exact repeats. Rows without words stay."""
+    text_col = options.get("text_col", "text")
+    marked = near_duplicates(docs, id_col=id_col, **options)
+    stay = marked.groupBy(id_or_last("doc_id").alias("d_"), F.col("mark").alias("mark_")).agg(F.max("kept").alias("kept_"), F.max("n_shingles").alias("n_")).filter("kept_")
+    joined = docs.join(stay, (id_or_last(id_col) == F.col("d_")) & (text_mark(text_col) == F.col("mark_")))
+    nth = F.row_number().over(Window.partitionBy("d_", "mark_").orderBy("d_", "mark_"))
+    return joined.withColumn("nth_", nth).filter((F.col("nth_") == 1) | (F.col("n_") == 0)).select(*docs.columns)

@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simvane.llm import chat, knn, lines, mixing, neardup, pieces, quality, shards, substrings
+from simvane.llm import chat, knn, licenses, lines, mixing, neardup, pieces, quality, shards, substrings
 from simvane.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprint_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_digests(table(spark, sf_dir, "documents"))
 
@@ -47,10 +51,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("mark")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fingerprint_runs, op3_quality_rules, op4_line_dedup, op5_voronoi_knn, op6_bounded_ring, op7_source_mix, op8_chat_snapshots, op9_sentencepiece, op10_sketch_neardup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_fingerprint_runs, op3_quality_rules, op4_line_dedup, op5_voronoi_knn, op6_bounded_ring, op7_source_mix, op8_chat_snapshots, op9_sentencepiece, op10_sketch_neardup)}
 
 _WORD = r"[^\x20\x09-\x0D]"
 
