@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from simvane.plans import vector_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(vector_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(vector_queries.SQL)
