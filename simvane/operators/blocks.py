@@ -28,7 +28,7 @@ def pair_blocks(queries: DataFrame, data: DataFrame, kernel: Callable[[pa.Table,
 
     def dealt(df: DataFrame, own: Column, mine: int, other: int, names: tuple[str, str]) -> DataFrame:
         there = F.explode(F.sequence(F.lit(0), F.lit(other - 1))) if other > 1 else F.lit(0)
-        return df.withColumn(names[0], F.pmod(own, F.lit(mine)).cast("int")).withColumn(names[1], there.cast("int"))
+        return df.withColumn(names[0], F.pmod(own, F.lit(mine)).cast("int")).withColumn(names[1], there)
 
     left = dealt(queries, F.xxhash64(key), nq, nd, ("qb", "db"))
     right = dealt(data, F.xxhash64(key), nd, nq, ("db", "qb"))
