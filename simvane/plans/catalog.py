@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simvane.plans import table_queries, vector_queries
+from simvane.plans import model_queries, table_queries, vector_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = vector_queries.QUERIES | table_queries.QUERIES
-ORACLE_SQL: dict[str, str] = vector_queries.SQL | table_queries.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = vector_queries.QUERIES | table_queries.QUERIES | model_queries.QUERIES
+ORACLE_SQL: dict[str, str] = vector_queries.SQL | table_queries.SQL | model_queries.SQL

@@ -98,3 +98,15 @@ def latex(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """line: the rows of a report table in LaTeX."""
     safe = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("--")), r"([&%$#_{}])", r"\\$1") for c in df.columns]
     return df.orderBy(*order).select(F.concat(F.concat_ws(" & ", *safe), F.lit(r" \\")).alias("line"))
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Makes checkpoint() work: the folder of spark.checkpoint.dir, or a temporary one where that is unset (local mode)."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not root:
+            import tempfile
+
+            root = tempfile.mkdtemp(prefix="simvane-")
+        context.setCheckpointDir(root)
