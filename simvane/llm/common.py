@@ -29,7 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="simvane-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/simvane-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/simvane-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)  # results are lazy, so what they read has to stay until the driver ends
+    return folder
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
