@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simvane.llm import chat, knn, licenses, lines, mixing, neardup, pieces, quality, shards, substrings
+from simvane.llm import chat, knn, licenses, lines, mixing, neardup, oracles, pieces, quality, shards, substrings
 from simvane.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -23,7 +23,8 @@ def op2_fingerprint_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_signals(table(spark, sf_dir, "documents"))
+    out = quality.quality_signals(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_chars", *(F.element_at("gram_chars", n).alias(f"gram_{n}_chars") for n in quality.GRAM_LIMITS))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _WORD = r"[^\x20\x09-\x0D]"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_fingerprint_runs": oracles.SUBSTRINGS,
+    "op3_quality_rules": oracles.quality(quality.GRAM_LIMITS, quality.LINE_LIMIT, quality.MIN_WORDS),
+    "op10_sketch_neardup": oracles.NEAR_DUPLICATES,
     "op4_line_dedup": rf"""
 WITH ln AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL
