@@ -82,7 +82,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K_BEST, scale: int = SCALE, pivots: int = PIVOTS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k candidates of highest integer inner product for each row of vectors where is_query holds (on the id column)."""
+    """query_id, rank (from 1), vec_id, score: the k candidates of highest integer inner product for each row of vectors where is_query, a condition on vec_id, holds."""
     spark = vectors.sparkSession
     folder = shared_folder(spark)
     schema = "query_id long, rank int, vec_id long, score long"
@@ -91,7 +91,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K_BEST, scale: int = SC
     if shape is None:
         return spark.createDataFrame([], schema)
     rows, top, dim, n_rows = rows.filter(F.col("dim") == shape["dim"]), shape["top"], int(shape["dim"]), int(shape["n"])
-    flagged = rows.withColumn("is_query", is_query if id_col == "vec_id" else F.expr("true") & is_query)
+    flagged = rows.withColumn("is_query", is_query)
     n_queries = flagged.filter("is_query").count()
     if not n_queries:
         return spark.createDataFrame([], schema)
@@ -100,7 +100,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K_BEST, scale: int = SC
     x = np.stack([np.frombuffer(r["v"], "<i8") for r in chosen])
     pivot = _lifted(x, np.array([r["norm2"] for r in chosen]), top)
     n_pivots = len(pivot)
-    # query groups: pivots put together until a group has about GROUP_QUERIES queries, at most as many groups as pivots
     slack = 1e-6 * (1.0 + np.sqrt(top))
 
     def assign(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -140,6 +139,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K_BEST, scale: int = SC
         within = upper[min(k, len(upper) - 1)] if len(upper) > k else np.inf
         # a row of cell j can be needed only if its distance to pivot j is at least this
         reach[g] = gap[g] - u - within - slack
+    # pivots with queries are put together into groups of about GROUP_QUERIES queries, 8 groups at least if there are as many pivots
     n_groups = max(1, min(len(asked), max(8, -(-n_queries // GROUP_QUERIES))))
     group_of, load = np.full(n_pivots, -1, np.int32), np.zeros(n_groups, np.int64)
     for g in sorted(asked, key=lambda g: (-asked[g][0], g)):
