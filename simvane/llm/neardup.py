@@ -25,11 +25,12 @@ confirmed on full sets:
 4. Connected components of all links.
 
 So every pair in a bucket is either confirmed, refuted or connected already, while
-no step emits the pairs of a group. With 40 bands of 5, a pair at similarity 0.8
-shares no bucket with a probability of 1.3e-7.
+no step emits the pairs of a group. With 28 bands of 4, a pair at similarity 0.8
+shares no bucket with a probability of 4e-7.
 
-Plan: sketches are made in one scan and stored (40 hashes a document); texts are
-shuffled again for candidates only at their joins. Hot keys (a class, a bucket, a
+Plan: sketches are made in one scan and stored (28 hashes a document). Texts are
+shuffled once, to pick out those of candidates, which are stored; later joins move
+candidates only. Hot keys (a class, a bucket, a
 hub with a third of all rows) are pre-aggregated, or joined to one row, or spread
 over blocks.
 
@@ -53,7 +54,7 @@ from pyspark.sql import functions as F
 from simvane.llm import textkit as K
 from simvane.llm.common import NO_ID, drop_folder, id_or_last, per_batch, shared_folder, stored, text_mark
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 28, 4
 SHINGLE = 5
 BLOCK = 1000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -130,8 +131,8 @@ def _signed(batch: pa.RecordBatch, shingle: int, bands: int, rows: int) -> Itera
         )
 
 
-def _node(d: str = "d", mark: str = "mark") -> Column:
-    return F.struct(F.col(d).alias("d"), F.col(mark).alias("mark"))
+def _key() -> Column:
+    return F.struct("d", "mark")
 
 
 def components(links: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
@@ -202,63 +203,57 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     signed = keyed.mapInArrow(per_batch(lambda b: _signed(b, shingle, bands, rows)), "d long, mark long, s1 long, s2 long, n_shingles long, bands binary")
     signed = stored(signed, f"{folder}/signed")
 
-    # classes of equal word sequences; the smallest member stands for its class
-    classes = signed.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min(_node()).alias("node"), F.max("n_shingles").alias("n"))
-    members = signed.filter("n_shingles > 0").select(_node().alias("node"), "bands")
-    heads = classes.select("node", "n").join(members.groupBy("node").agg(F.max("bands").alias("bands")), "node")
+    # classes of equal word sequences; the smallest member stands for its class, under a number fixed when this is stored
+    heads = signed.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min(_key()).alias("key"), F.max("bands").alias("bands"))
+    heads = stored(heads.select("s1", "s2", "key.d", "key.mark", "bands", F.monotonically_increasing_id().alias("node")), f"{folder}/heads")
 
     def buckets(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        each = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-        at = pa.array(np.repeat(np.arange(n), bands))
-        return pa.RecordBatch.from_arrays([pa.array(each), batch.column(0).take(at), batch.column(1).take(at)], names=["bucket", "d", "mark"])
+        each = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(each), batch.column(0).take(pa.array(np.repeat(np.arange(n), bands)))], names=["bucket", "node"])
 
-    spread = heads.select("node.d", "node.mark", "bands").mapInArrow(per_batch(buckets), "bucket long, d long, mark long")
-    spread = spread.select("bucket", _node().alias("node"))
+    spread = heads.select("node", "bands").mapInArrow(per_batch(buckets), "bucket long, node long")
     hubs = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").select("bucket", "hub")
     pairs = spread.join(hubs, "bucket").filter("node <> hub").groupBy("hub", "node").agg(F.count("*").alias("shared"))
     pairs = stored(pairs, f"{folder}/pairs")
+    candidates = pairs.select("node").union(pairs.select("hub")).distinct()
+    wanted = heads.select("node", "d", "mark").join(candidates, "node")
+    # rows that are exact repeats have one text
+    text_of = stored(keyed.join(wanted, ["d", "mark"]).select(F.col("node").alias("at"), "text"), f"{folder}/texts")
 
     def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * inter >= percent * (a + b - inter)
 
     # 1: each document with the hub it shares most buckets with
     best = pairs.groupBy("node").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-    text_of = keyed.select(_node().alias("at"), "text")
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     fans = best.groupBy("hub").agg(F.count("*").alias("n")).select("hub", salts.alias("salts"))
     asks = best.join(fans, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))
     hub_rows = fans.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     asked = asks.unionByName(hub_rows)
-    texts = asked.join(text_of, asked["node"] == text_of["at"]).select("hub", "salt", F.col("node.d").alias("d"), F.col("node.mark").alias("mark"), "text")
+    texts = asked.join(text_of, asked["node"] == text_of["at"]).select("hub", "salt", "node", "text")
 
     def compare(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
-        hub = block.column("hub").combine_chunks()
-        hub_d, hub_mark = hub.field(0)[0].as_py(), hub.field(1)[0].as_py()
-        d, mark = block.column("d").to_numpy(), block.column("mark").to_numpy()
-        sets = _sets(block.column("text").combine_chunks(), shingle)
-        centre = int(np.flatnonzero((d == hub_d) & (mark == hub_mark))[0])
-        core, n_core = sets[centre], len(sets[centre])
-        out, seen = {"d": [], "mark": [], "n": [], "inter": [], "ok": [], "rest": []}, set()
-        for i, s in enumerate(sets):
-            if i == centre or (d[i], mark[i]) == (hub_d, hub_mark) or (d[i], mark[i]) in seen:
-                continue
-            seen.add((d[i], mark[i]))
-            at = np.searchsorted(core, s)
-            at[at == n_core] = 0
-            hit = core[at] == s
-            inter = int(hit.sum())
-            out["d"].append(d[i])
-            out["mark"].append(mark[i])
-            out["n"].append(len(s))
-            out["inter"].append(inter)
-            out["ok"].append(bool(linked(inter, len(s), n_core)))
-            out["rest"].append(s[~hit].tobytes())
-        return pa.table({"hub_d": pa.array([hub_d] * len(out["d"]), pa.int64()), "hub_mark": pa.array([hub_mark] * len(out["d"]), pa.int64())} | {k: pa.array(v, {"ok": pa.bool_(), "rest": pa.binary()}.get(k, pa.int64())) for k, v in out.items()})
-
-    compared = texts.groupBy("hub", "salt").applyInArrow(compare, "hub_d long, hub_mark long, d long, mark long, n long, inter long, ok boolean, rest binary")
-    compared = stored(compared.select(_node("hub_d", "hub_mark").alias("hub"), _node().alias("node"), "n", "inter", "ok", "rest"), f"{folder}/compared")
+        hub, node = block.column("hub")[0].as_py(), block.column("node").to_numpy()
+        _, first = np.unique(node, return_index=True)
+        sets = _sets(block.column("text").combine_chunks().take(pa.array(first)), shingle)
+        node = node[first]
+        core = sets[int(np.flatnonzero(node == hub)[0])]
+        out = {"node": [], "n": [], "inter": [], "ok": [], "rest": []}
+        for i, s in zip(node.tolist(), sets, strict=True):
+            if i != hub:
+                at = np.searchsorted(core, s)
+                at[at == len(core)] = 0
+                hit = core[at] == s
+                inter = int(hit.sum())
+                for name, value in zip(out, (i, len(s), inter, bool(linked(inter, len(s), len(core))), s[~hit].tobytes()), strict=True):
+                    out[name].append(value)
+        kinds = {"ok": pa.bool_(), "rest": pa.binary()}
+        return pa.table({"hub": pa.array([hub] * len(out["node"]), pa.int64())} | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+
+    compared = texts.groupBy("hub", "salt").applyInArrow(compare, "hub long, node long, n long, inter long, ok boolean, rest binary")
+    compared = stored(compared, f"{folder}/compared")
     links = compared.filter("ok").select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
     # 2
@@ -271,25 +266,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     group = stored(group, f"{folder}/group")
     by_root = group.groupBy("hub", "root").agg(F.count("*").alias("n"))
     open_ = by_root.groupBy("hub").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.count("*").alias("n_roots")).filter("n_roots > 1")
+    # a group of two that were compared with each other is settled
+    settled = pairs.groupBy("hub").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").join(best, ["hub", "node"], "left_semi")
+    open_ = open_.join(settled.select("hub"), "hub", "left_anti")
 
     # elements that another candidate has too: of the rest of each document, and of the hubs
     def elements(batch: pa.RecordBatch) -> pa.RecordBatch:
-        each = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        each = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
         at = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), batch.column(0).take(at), batch.column(1).take(at)], names=["e", "d", "mark"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), batch.column(0).take(at)], names=["e", "node"])
 
     def own(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = _sets(batch.column(2), shingle)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["d", "mark", "s"])
+        sets = _sets(batch.column(1), shingle)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "s"])
 
     spans = open_.select("hub", "major", "n")
     minor = group.join(spans, "hub").filter(F.col("root") != F.col("major")).select("node").distinct()
     # a document's elements are its rest and elements of its hub, and so on up to a hub that was compared with none
     hub_nodes = pairs.select(F.col("hub").alias("node")).distinct().join(best.select("node"), "node", "left_anti")
-    hub_sets = hub_nodes.join(text_of, F.col("node") == F.col("at")).select("node.d", "node.mark", "text").mapInArrow(per_batch(own), "d long, mark long, s binary")
-    rests = compared.select("node.d", "node.mark", F.col("rest").alias("s"))
-    held = rests.unionByName(hub_sets).filter(F.length("s") > 0).mapInArrow(per_batch(elements), "e long, d long, mark long")
-    known = held.groupBy("e").agg(F.min(_node()).alias("one"), F.max(_node()).alias("other"))
+    hub_sets = hub_nodes.join(text_of, F.col("node") == F.col("at")).select("node", "text").mapInArrow(per_batch(own), "node long, s binary")
+    rests = compared.select("node", F.col("rest").alias("s"))
+    held = rests.unionByName(hub_sets).filter(F.length("s") > 0).mapInArrow(per_batch(elements), "e long, node long")
+    known = held.groupBy("e").agg(F.min("node").alias("one"), F.max("node").alias("other"))
     # what only one document holds goes back to that document
     alone = known.filter("one = other").groupBy(F.col("one").alias("a_node")).agg(F.count("*").alias("alone"))
     facts = compared.select("node", "n").join(alone, F.col("node") == F.col("a_node"), "left").select("node", F.col("n"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared_n"))
@@ -313,31 +311,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     def cross(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
         asking = block.column("asking").to_numpy()
-        node, root = (np.array([(x["d"], x["mark"]) for x in block.column(c).to_pylist()], dtype=[("d", "i8"), ("m", "i8")]) for c in ("node", "root"))
+        node, root = block.column("node").to_numpy(), block.column("root").to_numpy()
         sets = _sets(block.column("text").combine_chunks(), shingle)
         a, b = np.flatnonzero(asking), np.flatnonzero(~asking)
-        out = []
+        first: dict[tuple[int, int], int] = {}
         if len(a) and len(b):
-            _, code = np.unique(root, return_inverse=True)
             n = np.array([len(s) for s in sets])
             inter = _common([sets[i] for i in a], [sets[i] for i in b])
-            ok = (100 * inter >= percent * (n[a][:, None] + n[b][None, :] - inter)) & (code[a][:, None] != code[b][None, :])
+            ok = linked(inter, n[a][:, None], n[b][None, :]) & (root[a][:, None] != root[b][None, :])
             for i, j in zip(*np.nonzero(ok), strict=True):
-                out.append((a[i], b[j], code[b[j]]))
-        first = {(x, c): y for x, y, c in reversed(out)}
-        left, right = [x for x, _ in first], list(first.values())
-        return pa.table({"a_d": node["d"][left], "a_mark": node["m"][left], "b_d": node["d"][right], "b_mark": node["m"][right]}) if first else pa.table({k: pa.array([], pa.int64()) for k in ("a_d", "a_mark", "b_d", "b_mark")})
+                first.setdefault((int(node[a[i]]), int(root[b[j]])), int(node[b[j]]))
+        return pa.table({"a": pa.array([x for x, _ in first], pa.int64()), "b": pa.array(list(first.values()), pa.int64())})
 
-    more = dealt.groupBy("hub", "pa", "pb").applyInArrow(cross, "a_d long, a_mark long, b_d long, b_mark long")
-    more = more.select(_node("a_d", "a_mark").alias("a"), _node("b_d", "b_mark").alias("b"))
+    more = dealt.groupBy("hub", "pa", "pb").applyInArrow(cross, "a long, b long")
     every = links.unionByName(more)
-    
+
     # 4
     roots = components(every, f"{folder}/second").select(F.col("node").alias("r_node"), "root")
 
-    heads = classes.select("s1", "s2", F.col("node"))
-    heads = heads.join(roots, F.col("node") == F.col("r_node"), "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("root", "node")["d"].alias("least"))
-    out = signed.select("d", "mark", "s1", "s2", "n_shingles").join(heads, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n_shingles") > 0), "left")
+    named = heads.select("s1", "s2", "d", "node").join(roots, F.col("node") == F.col("r_node"), "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "d", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("d").alias("least"))
+    named = named.select("c1", "c2", "root").join(least, "root").select("c1", "c2", "least")
+    out = signed.select("d", "mark", "s1", "s2", "n_shingles").join(named, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n_shingles") > 0), "left")
     given = F.when(F.col("d") != NO_ID, F.col("d"))
     component = F.coalesce(F.col("least"), F.col("d"))
     return out.select(given.alias("doc_id"), "n_shingles", F.when(component != NO_ID, component).alias("component_id"), (F.col("d") == component).alias("kept"), "mark")

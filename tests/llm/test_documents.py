@@ -365,8 +365,8 @@ def test_components(spark):
     from simvane.llm.common import shared_folder
 
     chain = [(k, k + 1) for k in range(1, 40)] + [(100, 50), (50, 70), (200, 201)]
-    links = spark.createDataFrame([((a, 0), (b, 0)) for a, b in chain], "a struct<d:bigint,mark:bigint>, b struct<d:bigint,mark:bigint>")
-    got = {r.node.d: r.root.d for r in neardup.components(links, shared_folder(spark)).collect()}
+    links = spark.createDataFrame(chain, "a long, b long")
+    got = {r.node: r.root for r in neardup.components(links, shared_folder(spark)).collect()}
     assert got == {**{k: 1 for k in range(1, 41)}, 50: 50, 70: 50, 100: 50, 200: 200, 201: 200}
 
 
