@@ -9,7 +9,7 @@ The index holds a fingerprint for each window by way of its anchor: of the
 of equals). Equal windows have equal anchors, and neighbouring windows mostly
 share theirs, so about 2 in (window - gram + 2) places are stored. A batch of
 documents becomes one immutable run, sorted by hash, with a row for each hash: how
-often it was seen and one place where. A run is merge-joined with the older ones;
+often it was seen, and where if that was once. A run is merge-joined with the older ones;
 once `fanout` runs are of one level they are compacted into one of the next, so a
 hash is rewritten a number of times that grows with the logarithm of the history.
 
@@ -90,7 +90,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class FingerprintIndex:
     """Sorted immutable runs of anchor hashes, in a folder that driver and executors share.
 
-    A row of a run: h, n (times seen), d, mark and at (one place where).
+    A row of a run: h, n (times seen), d, mark and at (where, if it was seen once).
     """
 
     def __init__(self, spark: SparkSession, folder: str, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
@@ -123,7 +123,8 @@ class FingerprintIndex:
         """Adds a batch of keyed documents as a run and returns the run; then compacts where a level is full."""
         window, gram = self.window, self.gram
         rows = docs.mapInArrow(per_batch(lambda b: _rows(b, window, gram)), "h long, d long, mark long, at int, n long")
-        run = rows.groupBy("h").agg(F.sum("n").alias("n"), F.min(F.struct("d", "mark", "at")).alias("p")).select("h", "n", "p.d", "p.mark", "p.at")
+        # of a hash seen once, the smallest of each is that one place; plain numbers keep this a hash aggregation
+        run = rows.groupBy("h").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("d", "mark", "at")))
         held = self._write(run, 0)
         self._compact()
         return held
@@ -167,14 +168,15 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batche
         index.add(rows.filter(F.pmod(F.xxhash64(F.lit("batch"), "d"), F.lit(batches)) == k))
     single = index.merged().filter("n = 1").groupBy("d", "mark").agg(F.collect_list("at").alias("single"))
 
-    # one document of each class of equal texts, with the number of rows in it
-    classes = docs.select(id_or_last(id_col).cast("long").alias("d"), text_mark(text_col).alias("mark"), F.xxhash64(F.lit(21), text_col).alias("mark2")).groupBy("mark", "mark2").agg(F.min("d").alias("d"), F.count("*").alias("n_copies")).select("d", "mark", "n_copies")
+    # one document of each class of equal texts, with the number of rows in it, under a number fixed when this is stored
+    classes = docs.select(id_or_last(id_col).cast("long").alias("d"), text_mark(text_col).alias("mark"), F.xxhash64(F.lit(21), text_col).alias("mark2")).groupBy("mark", "mark2").agg(F.min("d").alias("d"), F.count("*").alias("n_copies"))
+    classes = stored(classes.select("d", "mark", "n_copies", F.monotonically_increasing_id().alias("node")), f"{index.folder}/classes")
     none = F.array().cast("array<int>")
     facts = rows.join(classes, ["d", "mark"], "left").join(single, ["d", "mark"], "left")
-    facts = facts.select("d", "mark", "text", F.coalesce("n_copies", F.lit(0).cast("long")).alias("n_copies"), F.coalesce("single", none).alias("single"))
+    facts = facts.select("d", "mark", "text", F.coalesce("n_copies", F.lit(0).cast("long")).alias("n_copies"), F.coalesce("single", none).alias("single"), "node")
 
     def whole(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """The nominated windows of one document of each class: w1, w2, n (rows in its class), d, mark, at."""
+        """The nominated windows of one document of each class: w1, w2, node, place (its word times 2, plus 1 if the class has several rows)."""
         heads = batch.filter(pa.array(batch.column(3).to_numpy() > 0))
         for lo, hi, data, offsets in K.chunks(heads.column(2)):
             words = K.words_of(data, offsets)
@@ -186,11 +188,13 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batche
             w2 = K.runs_of(K.words_of(data, offsets, seed=2).hashes, window, 2)[at]
             doc = np.searchsorted(words.first, at, "right") - 1
             of = pa.array(doc + lo)
-            yield pa.RecordBatch.from_arrays([K.long_array(w1), K.long_array(w2), heads.column(3).take(of), heads.column(0).take(of), heads.column(1).take(of), pa.array((at - words.first[doc]).astype(np.int32))], names=["w1", "w2", "n", "d", "mark", "at"])
+            place = 2 * (at - words.first[doc]) + (heads.column(3).to_numpy() > 1)[doc + lo]
+            yield pa.RecordBatch.from_arrays([K.long_array(w1), K.long_array(w2), heads.column(5).take(of), pa.array(place)], names=["w1", "w2", "node", "place"])
 
-    windows = facts.mapInArrow(per_batch(whole), "w1 long, w2 long, n long, d long, mark long, at int")
-    counted = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min(F.struct("d", "mark", "at")).alias("p")).filter("n = 1")
-    unique = counted.select("p.d", "p.mark", "p.at").groupBy("d", "mark").agg(F.collect_list("at").alias("unique"))
+    windows = facts.mapInArrow(per_batch(whole), "w1 long, w2 long, node long, place long")
+    counted = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("place").alias("place"))
+    unique = counted.filter("n = 1 and place % 2 = 0").select("node", F.shiftright("place", 1).cast("int").alias("at")).groupBy("node").agg(F.collect_list("at").alias("unique"))
+    unique = unique.join(classes.select("node", "d", "mark"), "node").select("d", "mark", "unique")
     return facts.join(unique, ["d", "mark"], "left").select("d", "mark", "text", "n_copies", "single", F.coalesce("unique", none).alias("unique"))
 
 
