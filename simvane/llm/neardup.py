@@ -21,7 +21,8 @@ confirmed on full sets:
    shares at least 0.8 of its elements with its partner, so one with too few
    elements that any other candidate also has is out, exactly. The comparison is
    blockwise, in bounded blocks, by one matrix product on the shared elements, and
-   gives at most one link for each document and component.
+   gives only links that join what the block has not joined yet: fewer than it
+   has documents.
 4. Connected components of all links.
 
 So every pair in a bucket is either confirmed, refuted or connected already, while
@@ -311,17 +312,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     def cross(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
         asking = block.column("asking").to_numpy()
-        node, root = block.column("node").to_numpy(), block.column("root").to_numpy()
+        node, root = block.column("node").to_numpy(), block.column("root").to_numpy().copy()
         sets = _sets(block.column("text").combine_chunks(), shingle)
         a, b = np.flatnonzero(asking), np.flatnonzero(~asking)
-        first: dict[tuple[int, int], int] = {}
+        left, right = [], []
         if len(a) and len(b):
             n = np.array([len(s) for s in sets])
             inter = _common([sets[i] for i in a], [sets[i] for i in b])
-            ok = linked(inter, n[a][:, None], n[b][None, :]) & (root[a][:, None] != root[b][None, :])
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                first.setdefault((int(node[a[i]]), int(root[b[j]])), int(node[b[j]]))
-        return pa.table({"a": pa.array([x for x, _ in first], pa.int64()), "b": pa.array(list(first.values()), pa.int64())})
+            ok = linked(inter, n[a][:, None], n[b][None, :])
+            for i, row in zip(a.tolist(), ok, strict=True):  # only links that join what the block hasn't joined yet
+                reached, at = np.unique(root[b[row]], return_index=True)
+                for other, j in zip(reached.tolist(), b[row][at].tolist(), strict=True):
+                    if other != root[i]:
+                        left.append(int(node[i]))
+                        right.append(int(node[j]))
+                if len(reached):
+                    root[np.isin(root, reached)] = root[i]
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     more = dealt.groupBy("hub", "pa", "pb").applyInArrow(cross, "a long, b long")
     every = links.unionByName(more)
