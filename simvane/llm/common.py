@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch at most: a batch holds whole texts, in the JVM and in the worker.
+BATCH_ROWS = 1000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Stands for a missing document id in keys; it sorts after every real id.
 NO_ID = 2**63 - 1
 
@@ -58,7 +61,10 @@ def text_mark(text: str | Column) -> Column:
 
 
 def per_batch(make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function that works on one record batch after another."""
+    """A mapInArrow function that works on one record batch after another; batches of the session are kept to BATCH_ROWS rows."""
+    session = SparkSession.getActiveSession()
+    if session is not None and not 0 < int(session.conf.get(_ROWS_SETTING)) <= BATCH_ROWS:
+        session.conf.set(_ROWS_SETTING, BATCH_ROWS)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -112,7 +112,7 @@ def sketches(elements: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
 
 def _signed(batch: pa.RecordBatch, shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     """For rows (d, mark, text): d, mark, s1, s2 (the word sequence), n_shingles, bands (hashes, as bytes)."""
-    for lo, hi, data, offsets in K.chunks(batch.column(2), 4 * K.CHUNK):
+    for lo, hi, data, offsets in K.chunks(batch.column(2), 3 * K.CHUNK // 2):
         elements, first, words = shingle_sets(data, offsets, shingle)
         docs = hi - lo
         sketch = sketches(elements, first, bands * rows)

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from simvane.llm.common import per_batch
 
 MARK = "▁"
-CACHE = 400_000
+CACHE = 100_000
 NONE = np.int32(2**31 - 1)
 #: Classes of characters that are told apart where a text is cut.
 CLASSES = 2048
