@@ -14,6 +14,12 @@ stands, with gaps of at most GAP words. A stretch too poor in template words to
 reach the limit even if all of them were aligned is skipped; that bound is exact.
 Each remaining stretch is aligned as a text of its own, and the best one counts.
 
+A stretch that holds a notice twice has few anchors or none. Where the alignment
+finds fewer words than the stretch's bound allows, the stretch is also cut at repeated
+words: around each occurrence of a word of the template, up to its neighbouring
+occurrences, lies a span in which that word is unique. The word is taken as an anchor
+and the span aligned on both sides of it; spans that can't give more are skipped.
+
 Plan: one scan and one Arrow map, no shuffle; templates are a bounded table of
 fixed texts. Memory is one Arrow batch plus the word table of one text.
 
@@ -127,6 +133,46 @@ def stretches(places: list[int], gap: int) -> Iterator[tuple[int, int]]:
             start = None
 
 
+def spans(text: list[str], template: list[str], counts: Mapping[str, int]) -> Iterator[tuple[int, int, int, int]]:
+    """(first, anchor, after last, anchor in the template) around each occurrence of a template word that stands in the text more often than in the template, cut at its neighbouring occurrences."""
+    at: dict[str, list[int]] = {}
+    for i, w in enumerate(text):
+        if w in counts:
+            at.setdefault(w, []).append(i)
+    seen: Counter[str] = Counter()
+    for j, w in enumerate(template):
+        here, before = at.get(w, []), seen[w]
+        seen[w] += 1
+        if len(here) <= counts[w]:
+            continue
+        after = counts[w] - before - 1
+        for k, i in enumerate(here):
+            lo = here[k - before - 1] + 1 if k > before else 0
+            hi = here[k + after + 1] if k + after + 1 < len(here) else len(text)
+            yield lo, i, hi, j
+
+
+def aligned(text: list[str], template: list[str], counts: Mapping[str, int], most: int, enough: float) -> list[tuple[int, int]]:
+    """The alignment of the whole text or of one of its spans, whichever has the most words; `most` is its bound, and spans below `enough` are skipped."""
+    best = patience(text, template)
+    if len(best) >= most:
+        return best
+    n = len(template)
+    for lo, i, hi, j in spans(text, template, counts):
+        least = max(enough, len(best) + 1)
+        if min(i - lo, j) + 1 + min(hi - i - 1, n - j - 1) < least:
+            continue
+        left, right = Counter(text[lo:i]), Counter(text[i + 1 : hi])
+        if sum(min(c, left[w]) for w, c in Counter(template[:j]).items()) + 1 + sum(min(c, right[w]) for w, c in Counter(template[j + 1 :]).items()) < least:
+            continue
+        run = [(lo + x, y) for x, y in patience(text[lo:i], template[:j])] + [(i, j)] + [(i + 1 + x, j + 1 + y) for x, y in patience(text[i + 1 : hi], template[j + 1 :])]
+        if len(run) > len(best):
+            best = run
+            if len(best) >= most:
+                break
+    return best
+
+
 def scan_text(text: str, templates: Mapping[str, list[str]], limit: float, gap: int) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, aligned words, first word, after last word in the folded text) of each template that covers `limit` or more."""
     words = folded(text)
@@ -143,7 +189,7 @@ def scan_text(text: str, templates: Mapping[str, list[str]], limit: float, gap:
             most = sum(min(c, here[w]) for w, c in counts.items())
             if most < limit * n or most <= best[0]:
                 continue
-            run = patience(words[a:b], template)
+            run = aligned(words[a:b], template, counts, most, limit * n)
             if len(run) > best[0]:
                 best = (len(run), a + run[0][0], a + run[-1][0] + 1)
         if best[0] >= limit * n:

@@ -396,6 +396,23 @@ def test_patience_alignment():
     assert licenses.scan_text("permission to charge any person", templates, 0.85, 8) == []
 
 
+def test_notice_given_twice():
+    templates = {name: licenses.folded(t) for name, t in licenses.TEMPLATES.items()}
+    for name, notice in licenses.TEMPLATES.items():
+        notice, n = notice.rstrip("."), len(templates[name])
+        once = f"The code is {notice}, see the file."
+        for text in (once, f"The code is {notice}. The data is {notice}, see the README.", " and also ".join([notice] * 5), f"{notice} {notice}"):
+            found = {m[0]: m for m in licenses.scan_text(text, templates, licenses.LIMIT, licenses.GAP)}
+            assert found[name][1:3] == (1.0, n), (name, text)
+            assert n <= found[name][4] - found[name][3]
+        # a copy with a word put in, next to a copy that lacks its middle
+        words = notice.split()
+        hurt = " ".join([*words[: n // 2], "(really)", *words[n // 2 :]])
+        torn = " ".join(words[: n // 3] + words[-(n // 3) :])
+        for text in (f"{torn}, {hurt}, {torn}", f"{hurt}; {hurt}"):
+            assert name in {m[0] for m in licenses.scan_text(text, templates, licenses.LIMIT, licenses.GAP)}, (name, text)
+
+
 # all
 
 
