@@ -4,14 +4,14 @@ Vectors are turned into integers, floor(scale * x). With one more component,
 sqrt(M^2 - |x|^2) for data and 0 for queries, M the largest length, nearest in
 Euclidean distance is the same as highest inner product, so bounds by distance
 hold. Pivots split the data into Voronoi cells. Each cell is summed up by its
-radius and the k + 1 smallest distances to its pivot. Queries form groups, each
+radius and the k + 1 smallest distances of different ids to its pivot. Queries form groups, each
 around a pivot, and get from the summaries a distance within which every one of
-them has k neighbours; a data row goes only to the groups whose bound it can
+them has k neighbours of other ids; a data row goes only to the groups whose bound it can
 meet by the triangle inequality. A group is solved locally, block by block: a
 block is a bounded number of queries against a bounded number of data rows, and
 the k best of all blocks of a query are merged.
 
-Plan: one pass finds dimension and length, one assigns cells and summaries, one
+Plan: equal rows are put together first; one pass finds dimension and length, one assigns cells and summaries, one
 replicates. Pivots (at most `pivots`), summaries (pivots * (k + 2) numbers) and
 group bounds are all that is collected or broadcast. A cell with a third of all
 rows, such as one vector repeated, is spread over as many blocks as it fills.
@@ -20,9 +20,12 @@ Scores are exact: by floating point where all sums stay below 2^53, else by 64-b
 integers.
 
 Defined results: vectors null, holding null or a non-finite component, of a length
-other than the most frequent one (the larger of two), empty, or with a component
-beyond 2^27 after scaling take no part, nor do rows without an id. Rows that share
-an id are one's own to each other. Equal scores rank by the smaller id. With fewer
+other than the most frequent one in rows (the larger of two), empty, or with a product
+with themselves beyond 64 bits after scaling take no part, nor do rows without an id;
+the scores of all others fit 64 bits. Rows that share an id are one's own to each
+other. Equal rows are one candidate; an id with several vectors is a candidate with
+each score they give, and a query id with several vectors has the k best of them all.
+Equal scores rank by the smaller id. With fewer
 than k candidates all are returned; an empty table gives an empty result.
 """
 
@@ -39,7 +42,7 @@ from simvane.llm.common import per_batch, shared_folder, stored
 
 K_BEST = 10
 SCALE = 1024
-LARGEST = 2**27
+LARGEST = 2**63 - 1
 PIVOTS = 64
 GROUP_QUERIES = 1024
 BLOCK_ROWS = 8192
@@ -52,6 +55,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<i8").reshape(len(column), -1)
 
 
+def _fits(v: np.ndarray) -> bool:
+    """Whether the product of v with itself, and so that of any two such vectors, is at most LARGEST."""
+    norm2 = float(v @ v)
+    return norm2 < LARGEST / 2 or norm2 < LARGEST * 2.0 and sum(int(x) ** 2 for x in v.tolist()) <= LARGEST
+
+
 def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, dim, v (bytes of 64-bit integers) and norm2 of the vectors that can take part."""
 
@@ -61,7 +70,7 @@ def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> D
             if not i.is_valid or not x.is_valid or x.values.null_count or not len(x.values):
                 continue
             v = np.floor(x.values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
-            if np.isfinite(v).all() and np.abs(v).max() <= LARGEST:
+            if np.isfinite(v).all() and _fits(v):
                 w = v.astype("<i8")
                 ids.append(i.as_py())
                 dims.append(len(w))
@@ -86,8 +95,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K_BEST, scale: int = SC
     spark = vectors.sparkSession
     folder = shared_folder(spark)
     schema = "query_id long, rank int, vec_id long, score long"
-    rows = stored(quantised(vectors, scale, id_col, vector_col), f"{folder}/vectors")
-    shape = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm2").alias("top")).orderBy(F.desc("n"), F.desc("dim")).first()
+    different = quantised(vectors, scale, id_col, vector_col).groupBy("vec_id", "dim", "v").agg(F.first("norm2").alias("norm2"), F.count("*").alias("copies"))
+    rows = stored(different, f"{folder}/vectors")
+    shape = rows.groupBy("dim").agg(F.sum("copies").alias("in_rows"), F.count("*").alias("n"), F.max("norm2").alias("top")).orderBy(F.desc("in_rows"), F.desc("dim")).first()
     if shape is None:
         return spark.createDataFrame([], schema)
     rows, top, dim, n_rows = rows.filter(F.col("dim") == shape["dim"]), shape["top"], int(shape["dim"]), int(shape["n"])
@@ -117,26 +127,36 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K_BEST, scale: int = SC
     assigned = stored(assigned, f"{folder}/assigned")
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, np.ndarray] = {}
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            cell, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cell, d, ids = (b.column(i).to_numpy() for i in range(3))
             for c in np.unique(cell).tolist():
-                best[c] = np.sort(np.concatenate((best.get(c, np.zeros(0)), d[cell == c])))[: k + 1]
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([v.tolist() for v in best.values()], pa.list_(pa.float64()))], names=["cell", "least"])
-
-    near_pivot: dict[int, list[float]] = {}
-    # at most (k + 1) numbers for each cell and task, put together before they are collected
-    least = assigned.select("cell", "d").mapInArrow(summarise, "cell int, least array<double>").groupBy("cell").agg(F.slice(F.sort_array(F.flatten(F.collect_list("least"))), 1, k + 1).alias("least"))
-    for r in least.collect():
-        near_pivot[r["cell"]] = r["least"]
+                far, who = best.get(c, (np.zeros(0), np.zeros(0, np.int64)))
+                best[c] = nearest_ids(np.concatenate((far, d[cell == c])), np.concatenate((who, ids[cell == c])))
+        n = [len(far) for far, _ in best.values()]
+        columns = [pa.array(np.repeat(np.array(list(best), np.int32), n)), *(pa.array(np.concatenate([b[i] for b in best.values()]) if best else np.zeros(0, kind)) for i, kind in enumerate((np.float64, np.int64)))]
+        yield pa.RecordBatch.from_arrays(columns, names=["cell", "d", "vec_id"])
+
+    def nearest_ids(d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k + 1 smallest distances of different ids, ascending, and the ids."""
+        order = np.lexsort((ids, d))
+        at = order[np.sort(np.unique(ids[order], return_index=True)[1])[: k + 1]]
+        return d[at], ids[at]
+
+    # at most (k + 1) rows for each cell and task, put together before they are collected
+    by_id = assigned.select("cell", "d", "vec_id").mapInArrow(summarise, "cell int, d double, vec_id long").groupBy("cell", "vec_id").agg(F.min("d").alias("d"))
+    nth = F.row_number().over(Window.partitionBy("cell").orderBy("d", "vec_id"))
+    least = by_id.withColumn("nth", nth).filter(F.col("nth") <= k + 1).select("cell", "d", "vec_id").collect()
+    least_cell = np.array([r["cell"] for r in least], np.int64)
+    least_d, least_id = np.array([r["d"] for r in least], np.float64), np.array([r["vec_id"] for r in least], np.int64)
     asked = {r["near"]: (r["n"], r["u"]) for r in assigned.filter("is_query").groupBy("near").agg(F.count("*").alias("n"), F.max("dq").alias("u")).collect()}
 
     # bounds for each query pivot; distance from a query of radius u at pivot g to a row at distance d of pivot j is at most u + |g j| + d
     gap = _distances(pivot, pivot)
     reach = np.full((n_pivots, n_pivots), np.inf)
     for g, (_, u) in asked.items():
-        upper = np.sort(np.concatenate([u + gap[g, j] + np.asarray(near_pivot[j]) for j in near_pivot]))
-        within = upper[min(k, len(upper) - 1)] if len(upper) > k else np.inf
+        upper, _ = nearest_ids(u + gap[g, least_cell] + least_d, least_id)
+        within = upper[k] if len(upper) > k else np.inf  # k ids at least besides the query's own
         # a row of cell j can be needed only if its distance to pivot j is at least this
         reach[g] = gap[g] - u - within - slack
     # pivots with queries are put together into groups of about GROUP_QUERIES queries, 8 groups at least if there are as many pivots
@@ -185,6 +205,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K_BEST, scale: int = SC
         data, data_ids = m[~asks][order], ids[~asks][order]
         queries, query_ids = m[asks], ids[asks]
         got: list[np.ndarray] = []
+        surplus = len(data_ids) - len(np.unique(data_ids))  # rows of ids with several vectors, which may have equal scores
         exact = len(data) and len(queries) and float(np.abs(data).max()) * float(np.abs(queries).max()) * dim < 2**53
         for lo in range(0, len(queries), 256):
             q = queries[lo : lo + 256]
@@ -192,7 +213,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K_BEST, scale: int = SC
             for i, row in enumerate(score):
                 own = query_ids[lo + i]
                 a, b = np.searchsorted(data_ids, own, "left"), np.searchsorted(data_ids, own, "right")
-                many = k + int(b - a)
+                many = k + int(b - a) + surplus
                 if len(row) > many:
                     floor = np.partition(row, len(row) - many)[len(row) - many]
                     # all above the floor, and of those on it the smallest ids
@@ -200,7 +221,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K_BEST, scale: int = SC
                 else:
                     at = np.arange(len(row))
                 at = at[(at < a) | (at >= b)]
-                at = at[np.lexsort((at, -row[at]))][:k]
+                at = at[np.lexsort((at, -row[at]))]
+                same = (data_ids[at[1:]] == data_ids[at[:-1]]) & (row[at[1:]] == row[at[:-1]])
+                at = at[np.concatenate((np.ones(len(at[:1]), bool), ~same))][:k]
                 got.append(np.column_stack((np.full(len(at), own), data_ids[at], row[at])))
         found = np.concatenate(got) if got else np.zeros((0, 3), np.int64)
         return pa.table({"query_id": found[:, 0], "vec_id": found[:, 1], "score": found[:, 2]})

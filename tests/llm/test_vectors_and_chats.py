@@ -64,6 +64,36 @@ def test_large_components_are_exact(spark):
     assert run(spark, [(i, [single(x) for x in v], "a", "b") for i, v in rows]) == sorted(brute_top([(i, [single(x) for x in v]) for i, v in rows]))
 
 
+def brute_different(rows, k=10):
+    """The k best different (vec_id, score) of each query id, in whole numbers."""
+    scaled = {(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows}
+    scaled = [(i, w) for i, w in scaled if sum(x * x for x in w) < 2**63]
+    out = []
+    for q in {i for i, _ in scaled if i % 100 == 0}:
+        best = sorted({(-sum(x * y for x, y in zip(a, b)), i) for p, a in scaled if p == q for i, b in scaled if i != q})[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("pivots,block", [(64, 8192), (5, 60), (1, 8192)])
+def test_repeated_candidates(spark, monkeypatch, pivots, block):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", block)
+    rng = random.Random(3)
+    rows = [(i, [single(rng.gauss(0, 1)) for _ in range(4)]) for i in range(400)]
+    rows += [(700, [50.0] * 4)] * 40 + [(701, [-50.0, 50.0, 50.0, -50.0])] * 25  # candidates on more than k equal rows
+    rows += [rows[100]] * 30 + [(200, [single(rng.gauss(0, 9)) for _ in range(4)]) for _ in range(30)]  # a query repeated, a query id with many vectors
+    rows += [(300, [1.0, 0.0, 0.0, 0.0]), (702, [60.0, 0.0, 0.0, 0.0])] + [(702, [60.0, float(x), 0.0, 0.0]) for x in range(30)]  # an id whose vectors give equal scores
+    rows += [(800, [1.0, 0.0, 0.0, 0.0])]
+    got = run(spark, [(i, v, "a", "b") for i, v in rows], pivots=pivots)
+    assert got == brute_different(rows)
+    assert {q: sum(r[0] == q for r in got) for q in (0, 100, 800)} == {0: 10, 100: 10, 800: 10}
+
+
+def test_components_up_to_64_bits(spark):
+    rows = [(0, [1_000_000.0, -3.0]), (1, [2_000_000.0, 0.5]), (2, [-2_900_000.0, 131_073.0]), (3, [1.0, 2.0]), (100, [0.001, 2_000_000.5])]
+    assert run(spark, [(i, [single(x) for x in v], "a", "b") for i, v in [*rows, (4, [3e6, 3e6])]]) == brute_different([(i, [single(x) for x in v]) for i, v in rows])
+
+
 def brute_chats(rows):
     convs = {}
     for c, turn, role, text in rows:
