@@ -57,6 +57,11 @@ def json_rows(spark: SparkSession, sf: str) -> DataFrame:
     return P.flat_json(table(spark, sf, "events").filter("event_id % 10 = 0"), "props", ["event_id"])
 
 
+def json_rows_all(spark: SparkSession, sf: str) -> DataFrame:
+    """json_rows of every event."""
+    return P.flat_json(table(spark, sf, "events"), "props", ["event_id"])
+
+
 def dispersion_ranks(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "orders").count()
     return P.dispersion_ranks(counts(spark, sf), n).filter("rank <= 100").select("gene", _r("mean"), _r("normalised"), "rank")
@@ -85,6 +90,7 @@ SELECT seed, 'fixed' AS rule, resolution, k, round(score, 6) AS score, boundary
     "gaussian_affinity": "WITH e AS (SELECT vec_id AS id, embedding[1:2]::DOUBLE[] AS v FROM embeddings), n AS (SELECT * FROM (SELECT a.id AS q, b.id AS n, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id) WHERE rank <= 6) SELECT q, n, round(exp(-d * d / (2 * 0.05 * 0.05)), 6) AS w FROM n",
     "pixel_scaling": "SELECT c_custkey, round_even(c_custkey * 0.25::DOUBLE, 0)::BIGINT AS pixel FROM customer",
     "json_rows": "SELECT event_id, key AS field, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events WHERE event_id % 10 = 0)",
+    "json_rows_all": "SELECT event_id, key AS field, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)",
     "dispersion_ranks": f"""WITH {_COO}, n AS (SELECT count(*)::DOUBLE AS n FROM orders), b AS (SELECT gene, sum(value) / max(n) AS m, greatest(sum(value * value) - max(n) * (sum(value) / max(n)) * (sum(value) / max(n)), 0) / (max(n) - 1) AS v FROM coo, n GROUP BY 1),
 g AS (SELECT gene, ln(1 + m) AS mean, round(ln(nullif(v / m, 0)), 9) AS disp FROM b), l AS (SELECT *, least(19, floor(round((mean - min(mean) OVER ()) / (max(mean) OVER () - min(mean) OVER ()) * 20, 9))) AS bin FROM g WHERE disp IS NOT NULL),
 z AS (SELECT gene, mean, round(CASE WHEN stddev_samp(disp) OVER (PARTITION BY bin) IS NULL THEN 1 ELSE (disp - avg(disp) OVER (PARTITION BY bin)) / nullif(stddev_samp(disp) OVER (PARTITION BY bin), 0) END, 9) AS norm FROM l),
@@ -92,4 +98,4 @@ r AS (SELECT *, row_number() OVER (ORDER BY norm DESC NULLS LAST, gene) AS rank
     "synthetic_balance": 'SELECT g AS "group", b AS batch, 25::BIGINT AS n FROM (SELECT unnest(range(5)) AS g), (SELECT unnest(range(4)) AS b)',
 }
 
-QUERIES = {f.__name__: f for f in (matrix_kind, counterfactual_observed, effective_rank, signature_recall, resolution_picks, gaussian_affinity, pixel_scaling, json_rows, dispersion_ranks, synthetic_balance)}
+QUERIES = {f.__name__: f for f in (matrix_kind, counterfactual_observed, effective_rank, signature_recall, resolution_picks, gaussian_affinity, pixel_scaling, json_rows, json_rows_all, dispersion_ranks, synthetic_balance)}
