@@ -39,6 +39,11 @@ def scaled_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return models.scaled(cells(spark, sf), clip=1.5).select("id", F.transform(S.leading("v", 4), lambda x: F.round(x, 6)).alias("head"))
 
 
+def scaled_vectors_all(spark: SparkSession, sf: str) -> DataFrame:
+    """scaled_vectors with all components."""
+    return models.scaled(cells(spark, sf), clip=1.5).select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
 def hex_refinement(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf)
     return models.majority_refinement(c.select(F.col("id").alias("node"), F.col("cluster")), N.exact_neighbors(c, 6))
@@ -71,11 +76,18 @@ def repaired_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return hurt.select("id", F.transform(S.leading(integrity.repair_vector("v"), 4), lambda x: F.round(x, 6)).alias("head"))
 
 
+def repaired_vectors_all(spark: SparkSession, sf: str) -> DataFrame:
+    """repaired_vectors with all components."""
+    hurt = cells(spark, sf).withColumn("v", F.transform("v", lambda x: F.when(x > 0.2, F.lit(float("nan"))).otherwise(x)))
+    return hurt.select("id", F.transform(integrity.repair_vector("v"), lambda x: F.round(x, 6)).alias("v"))
+
+
 _E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, list_position(embedding[1:8], list_max(embedding[1:8])) - 1 AS cluster FROM embeddings)"
 _X = "x AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM e)"
 
 SQL = {
     "scaled_vectors": f"WITH {_E}, {_X}, m AS (SELECT dim, avg(x) AS m, coalesce(nullif(stddev_samp(x), 0), 1) AS s FROM x WHERE dim < 4 GROUP BY 1) SELECT id, list(round(least(1.5, (x - m) / s), 6) ORDER BY m.dim) AS head FROM x JOIN m ON x.dim = m.dim GROUP BY 1",
+    "scaled_vectors_all": f"WITH {_E}, {_X}, m AS (SELECT dim, avg(x) AS m, coalesce(nullif(stddev_samp(x), 0), 1) AS s FROM x GROUP BY 1) SELECT id, list(round(least(1.5, (x - m) / s), 6) ORDER BY m.dim) AS v FROM x JOIN m ON x.dim = m.dim GROUP BY 1",
     "hex_refinement": f"""WITH {_E}, n AS (SELECT * FROM (SELECT a.id AS q, b.cluster AS other, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id) WHERE rank <= 6),
 c AS (SELECT q, other, count(*) AS c FROM n GROUP BY 1, 2), t AS (SELECT q, arg_min(other, -c * 1000 + other) AS top, max(c) AS top_c FROM c GROUP BY 1)
 SELECT id AS node, (CASE WHEN coalesce(o.c, 0) * 2 < 6 AND top_c * 2 > 6 THEN top ELSE cluster END)::INT AS cluster FROM e JOIN t ON t.q = id LEFT JOIN c o ON o.q = id AND o.other = cluster""",
@@ -84,6 +96,7 @@ SELECT id AS node, (CASE WHEN coalesce(o.c, 0) * 2 < 6 AND top_c * 2 > 6 THEN to
     "fixed_sample": "SELECT c_custkey, c_nationkey FROM customer ORDER BY sha256(c_custkey::VARCHAR || '|5'), c_custkey LIMIT 200",
     "feature_variance": f"WITH {_E}, {_X}, a AS (SELECT dim::INT AS dim, round(var_pop(x), 9) AS variance FROM x GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) SELECT dim, round(variance, 6) AS variance FROM a",
     "repaired_vectors": f"WITH {_E} SELECT id, list_transform(v[1:4], lambda z: round(CASE WHEN z > 0.2 THEN 0 ELSE z END, 6)) AS head FROM e",
+    "repaired_vectors_all": f"WITH {_E} SELECT id, list_transform(v, lambda z: round(CASE WHEN z > 0.2 THEN 0 ELSE z END, 6)) AS v FROM e",
 }
 
-QUERIES = {f.__name__: f for f in (pca32, kmeans_clusters, fuzzy_affinity, propagated_labels, scaled_vectors, hex_refinement, windowed_event_counts, asof_events, fixed_sample, feature_variance, repaired_vectors)}
+QUERIES = {f.__name__: f for f in (pca32, kmeans_clusters, fuzzy_affinity, propagated_labels, scaled_vectors, scaled_vectors_all, hex_refinement, windowed_event_counts, asof_events, fixed_sample, feature_variance, repaired_vectors, repaired_vectors_all)}

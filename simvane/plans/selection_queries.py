@@ -28,8 +28,14 @@ def counterfactual_observed(spark: SparkSession, sf: str) -> DataFrame:
     return moved.select("id", F.transform(S.leading("v", 4), lambda x: F.round(x, 6)).alias("head"))
 
 
+def counterfactual_observed_all(spark: SparkSession, sf: str) -> DataFrame:
+    """counterfactual_observed with all components."""
+    moved = P.counterfactual_slice(perturb.batch_shift(cells(spark, sf), "batch", 0.5, 1.0), "batch")
+    return moved.select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
 def effective_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return P.effective_rank(cells(spark, sf).withColumn("v", S.leading("v", 16))).select("dim", _r("effective_rank"))
+    return P.effective_rank(cells(spark, sf)).select("dim", _r("effective_rank"))
 
 
 def signature_recall(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,6 +85,7 @@ sig AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, label ORD
 SQL = {
     "matrix_kind": f"WITH {_COO}, h AS (SELECT CASE WHEN gene % 9 = 0 THEN value / 7 ELSE value END AS v FROM coo ORDER BY cell, gene LIMIT 5000), a AS (SELECT avg((v = round(v))::INT) AS s, quantile_cont(v, 0.99) AS p FROM h) SELECT round(s, 6) AS integer_share, round(p, 6) AS p99, s >= 0.95 AS integer_like, s < 0.5 AND p < 50 AS log_like FROM a",
     "counterfactual_observed": f"SELECT id, head FROM ({VECTOR_SQL['batch_simplex_shift']}) WHERE hyp_batch = id % 4",
+    "counterfactual_observed_all": f"SELECT id, v FROM ({VECTOR_SQL['batch_simplex_shift_all']}) WHERE hyp_batch = id % 4",
     "signature_recall": f"""WITH {_COO}, {_SIG}, sm AS (SELECT f.cell, sig.fold, sig.label AS cls, sum(value) / 10 AS score FROM coo JOIN f USING (cell) JOIN sig ON sig.gene = coo.gene AND sig.fold = f.own GROUP BY 1, 2, 3),
 g AS (SELECT f.cell, f.label AS truth, k.fold, k.cls, coalesce(score, 0) AS score FROM f JOIN (SELECT DISTINCT fold, label AS cls FROM sig) k ON k.fold = f.own LEFT JOIN sm ON sm.cell = f.cell AND sm.fold = k.fold AND sm.cls = k.cls),
 y AS (SELECT *, round(CASE WHEN stddev_pop(score) OVER w > 1e-12 THEN (score - avg(score) OVER w) / stddev_pop(score) OVER w ELSE 0 END, 9) AS zz FROM g WINDOW w AS (PARTITION BY fold, cls)),
@@ -98,4 +105,4 @@ r AS (SELECT *, row_number() OVER (ORDER BY norm DESC NULLS LAST, gene) AS rank
     "synthetic_balance": 'SELECT g AS "group", b AS batch, 25::BIGINT AS n FROM (SELECT unnest(range(5)) AS g), (SELECT unnest(range(4)) AS b)',
 }
 
-QUERIES = {f.__name__: f for f in (matrix_kind, counterfactual_observed, effective_rank, signature_recall, resolution_picks, gaussian_affinity, pixel_scaling, json_rows, json_rows_all, dispersion_ranks, synthetic_balance)}
+QUERIES = {f.__name__: f for f in (matrix_kind, counterfactual_observed, counterfactual_observed_all, effective_rank, signature_recall, resolution_picks, gaussian_affinity, pixel_scaling, json_rows, json_rows_all, dispersion_ranks, synthetic_balance)}

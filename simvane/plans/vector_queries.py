@@ -173,6 +173,17 @@ def local_warp(spark: SparkSession, sf: str) -> DataFrame:
     return moved.select("id", F.transform(S.leading("v", 3), lambda x: F.round(x, 6)).alias("head"))
 
 
+def batch_simplex_shift_all(spark: SparkSession, sf: str) -> DataFrame:
+    """batch_simplex_shift with all components."""
+    return perturb.batch_shift(cells(spark, sf), "batch", 0.5, 1.0).select("id", "hyp_batch", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
+def local_warp_all(spark: SparkSession, sf: str) -> DataFrame:
+    """local_warp with all components."""
+    moved = perturb.local_warp(cells(spark, sf), "label", 0, "batch", F.col("v")[0], [0.0, 1.0] + [0.0] * 62, 2.0, 0.1)
+    return moved.select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
 def counterfactual_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf)
     return perturb.sensitivity(perturb.batch_shift(c, "batch", 0.5, 1.0), c).select(_r("numerator"), _r("denominator"), _r("ratio"))
@@ -189,6 +200,7 @@ def student_t_target(spark: SparkSession, sf: str) -> DataFrame:
 
 _SIMPLEX = [[round(x, 17) for x in row] for row in perturb.simplex_directions(4, 64)]
 _CORNER = " ".join(f"WHEN {b} THEN {row[:4]!r}::DOUBLE[]" for b, row in enumerate(_SIMPLEX))
+_WHOLE = " ".join(f"WHEN {b} THEN {row!r}::DOUBLE[]" for b, row in enumerate(_SIMPLEX))
 _HASH = "sha256(id::VARCHAR || '|{seed}')"
 _SIL = """o AS (SELECT a.id AS q, a.label AS own, b.label AS other, avg(list_distance(a.v, b.v)) AS m FROM e a JOIN e b ON a.id <> b.id GROUP BY 1, 2, 3),
 ab AS (SELECT q, own, max(m) FILTER (own = other) AS a, min(m) FILTER (own <> other) AS b FROM o GROUP BY 1, 2),
@@ -256,6 +268,10 @@ SELECT id, batch, r.label FROM r JOIN m ON r.label = m.label WHERE nth <= take""
 w AS (SELECT list(m ORDER BY i) AS mean FROM (SELECT i, sum(x * n) / sum(n) AS m FROM (SELECT unnest(dir) AS x, generate_subscripts(dir, 1) AS i, n FROM c JOIN (SELECT batch, count(*) AS n FROM e GROUP BY 1) ON batch = b) GROUP BY 1))
 SELECT id, b AS hyp_batch, list_transform([1, 2, 3, 4], lambda j: round(v[j] + 0.5 * (dir[j] - mean[j]), 6)) AS head FROM e, c, w""",
     "local_warp": f"WITH {E}, t AS (SELECT *, CASE WHEN label = 0 THEN tanh(v[1] / 0.1) END AS c FROM e), d AS (SELECT *, c - avg(c) OVER (PARTITION BY batch) AS cc FROM t) SELECT id, [round(v[1], 6), round(v[2] + 2.0 * 0.1 * coalesce(cc, 0), 6), round(v[3], 6)] AS head FROM d",
+    "batch_simplex_shift_all": f"""WITH {E}, c AS (SELECT b::BIGINT AS b, CASE b {_WHOLE} END AS dir FROM (SELECT unnest([0, 1, 2, 3]) AS b)),
+w AS (SELECT list(m ORDER BY i) AS mean FROM (SELECT i, sum(x * n) / sum(n) AS m FROM (SELECT unnest(dir) AS x, generate_subscripts(dir, 1) AS i, n FROM c JOIN (SELECT batch, count(*) AS n FROM e GROUP BY 1) ON batch = b) GROUP BY 1))
+SELECT id, b AS hyp_batch, list_transform(range(1, len(v) + 1), lambda j: round(v[j] + 0.5 * (dir[j] - mean[j]), 6)) AS v FROM e, c, w""",
+    "local_warp_all": f"WITH {E}, t AS (SELECT *, CASE WHEN label = 0 THEN tanh(v[1] / 0.1) END AS c FROM e), d AS (SELECT *, c - avg(c) OVER (PARTITION BY batch) AS cc FROM t) SELECT id, list_concat([round(v[1], 6), round(v[2] + 2.0 * 0.1 * coalesce(cc, 0), 6)], list_transform(v[3:], lambda z: round(z, 6))) AS v FROM d",
     "counterfactual_sensitivity": f"""WITH {E}, {_LONG}, c AS (SELECT b, CASE b {_CORNER} END AS dir FROM (SELECT unnest([0, 1, 2, 3]) AS b)),
 d AS (SELECT b, unnest(dir) AS x, generate_subscripts(dir, 1) AS i FROM c), g AS (SELECT sum(s) / 4 AS numerator FROM (SELECT i, var_pop(0.5 * x) * 4 AS s FROM d GROUP BY 1)),
 k AS (SELECT sum(s) AS denominator FROM (SELECT var_pop(x) AS s FROM x GROUP BY dim))
@@ -266,4 +282,4 @@ q AS (SELECT id, cluster, w / sum(w) OVER (PARTITION BY id) AS q FROM w), f AS (
 SELECT id, cluster, round(q, 6) AS q, round(z / sum(z) OVER (PARTITION BY id), 6) AS p FROM f""",
 }
 
-QUERIES = {f.__name__: f for f in (exact_knn, knn_cosine, knn_batch_balanced, mutual_nn_pairs, neighbor_purity_by_label, neighbor_jaccard_paired, purity_delta_rollup, d_batch, ilisi, median_kth_radius, target_fraction_at_k, rare_recall_at_k, silhouette_samples, silhouette_summary, isolated_label_asw, class_compactness, centroid_geometry, centroid_separation, confusion, ari_ri_nmi, cluster_purity_entropy, embedding_diagnostics, leading_projection, label_encoding, imbalance_downsample, nonoverlap_drop, stratified_subsample, heldout_split, batch_simplex_shift, local_warp, counterfactual_sensitivity, train_only_batch_centering, student_t_target)}
+QUERIES = {f.__name__: f for f in (exact_knn, knn_cosine, knn_batch_balanced, mutual_nn_pairs, neighbor_purity_by_label, neighbor_jaccard_paired, purity_delta_rollup, d_batch, ilisi, median_kth_radius, target_fraction_at_k, rare_recall_at_k, silhouette_samples, silhouette_summary, isolated_label_asw, class_compactness, centroid_geometry, centroid_separation, confusion, ari_ri_nmi, cluster_purity_entropy, embedding_diagnostics, leading_projection, label_encoding, imbalance_downsample, nonoverlap_drop, stratified_subsample, heldout_split, batch_simplex_shift, batch_simplex_shift_all, local_warp, local_warp_all, counterfactual_sensitivity, train_only_batch_centering, student_t_target)}

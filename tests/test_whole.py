@@ -2,6 +2,9 @@
 
 import json
 
+import numpy as np
+import pytest
+
 from simvane.plans import catalog
 
 
@@ -10,3 +13,21 @@ def test_json_rows_of_every_event(spark, sf):
     want = sorted((e.event_id, k, str(v)) for e in events for k, v in json.loads(e.props).items())
     assert any(i % 10 for i, _, _ in want)
     assert sorted(tuple(r) for r in catalog.QUERIES["json_rows_all"](spark, sf).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["scaled_vectors_all", "repaired_vectors_all", "counterfactual_observed_all", "batch_simplex_shift_all", "local_warp_all"])
+def test_all_components(spark, sf, name):
+    rows = catalog.QUERIES[name](spark, sf).collect()
+    assert rows and {len(r.v) for r in rows} == {64}
+    heads = catalog.QUERIES[name.removesuffix("_all")](spark, sf).collect()
+    keys = [c for c in ("id", "hyp_batch") if c in rows[0]]
+    n = len(heads[0]["head"])
+    assert sorted((*(r[c] for c in keys), r.v[:n]) for r in rows) == sorted((*(r[c] for c in keys), r["head"]) for r in heads)
+
+
+def test_effective_rank_of_whole_vectors(spark, sf):
+    x = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect()], float)
+    s = np.linalg.svd(x - x.mean(0), compute_uv=False)
+    p = s / s.sum()
+    (got,) = catalog.QUERIES["effective_rank"](spark, sf).collect()
+    assert got.dim == 64 and got.effective_rank == pytest.approx(np.exp(-(p * np.log(p)).sum()), abs=1e-5)
