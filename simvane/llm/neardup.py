@@ -193,12 +193,8 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, kept, and mark (64 bits of the text).
-
-    Two documents are linked if 100 * |A & B| >= percent * |A | B|; a component's id is its
-    smallest doc_id, and the document that bears it is kept.
-    """
+def _grouped(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """d, mark and n_shingles of each row of docs, root (a number for each component, null without words) and least (its smallest d)."""
     folder = shared_folder(docs.sparkSession)
     keyed = docs.select(id_or_last(id_col).cast("long").alias("d"), text_mark(text_col).alias("mark"), F.col(text_col).alias("text"))
     signed = keyed.mapInArrow(per_batch(lambda b: _signed(b, shingle, bands, rows)), "d long, mark long, s1 long, s2 long, n_shingles long, bands binary")
@@ -338,8 +334,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
 
     named = heads.select("s1", "s2", "d", "node").join(roots, F.col("node") == F.col("r_node"), "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "d", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("d").alias("least"))
-    named = named.select("c1", "c2", "root").join(least, "root").select("c1", "c2", "least")
-    out = signed.select("d", "mark", "s1", "s2", "n_shingles").join(named, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n_shingles") > 0), "left")
+    named = named.select("c1", "c2", "root").join(least, "root").select("c1", "c2", "root", "least")
+    return signed.select("d", "mark", "s1", "s2", "n_shingles").join(named, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n_shingles") > 0), "left").select("d", "mark", "n_shingles", "root", "least")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept, and mark (64 bits of the text).
+
+    Two documents are linked if 100 * |A & B| >= percent * |A | B|; a component's id is its
+    smallest doc_id, and the document that bears it is kept.
+    """
+    out = _grouped(docs, percent, shingle, bands, rows, id_col, text_col)
     given = F.when(F.col("d") != NO_ID, F.col("d"))
     component = F.coalesce(F.col("least"), F.col("d"))
     return out.select(given.alias("doc_id"), "n_shingles", F.when(component != NO_ID, component).alias("component_id"), (F.col("d") == component).alias("kept"), "mark")
@@ -348,8 +353,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, with all their columns, of which one stays of each group: the one with the smallest id, and one of its exact repeats. Rows without words stay."""
     text_col = options.get("text_col", "text")
-    marked = near_duplicates(docs, id_col=id_col, **options)
-    stay = marked.groupBy(id_or_last("doc_id").alias("d_"), F.col("mark").alias("mark_")).agg(F.max("kept").alias("kept_"), F.max("n_shingles").alias("n_")).filter("kept_")
+    marked = _grouped(docs, id_col=id_col, **options)
+    bare = F.col("root").isNull()  # without words: each stays
+    stay = marked.groupBy("root", F.when(bare, F.col("d")).alias("a"), F.when(bare, F.col("mark")).alias("b")).agg(F.min(F.struct("d", "mark")).alias("first"), F.max("n_shingles").alias("n_"))
+    stay = stay.select(F.col("first.d").alias("d_"), F.col("first.mark").alias("mark_"), "n_")
     joined = docs.join(stay, (id_or_last(id_col) == F.col("d_")) & (text_mark(text_col) == F.col("mark_")))
     nth = F.row_number().over(Window.partitionBy("d_", "mark_").orderBy("d_", "mark_"))
     return joined.withColumn("nth_", nth).filter((F.col("nth_") == 1) | (F.col("n_") == 0)).select(*docs.columns)

@@ -373,6 +373,16 @@ def test_components(spark):
 # op1
 
 
+def test_dropping_near_copies_without_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [" ".join([*words, f"end{k}"]) for k in range(4)]
+    other = [" ".join([f"v{i}" for i in range(200)] + [f"end{k}"]) for k in range(3)]
+    rows = [(None, t) for t in near] + [(7, t) for t in other] + [(None, "alone and on its own"), (None, None), (None, ""), (3, "")]
+    out = [tuple(r) for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert [sum(r in g for r in out) for g in ([(None, t) for t in near], [(7, t) for t in other])] == [1, 1]
+    assert all(r in out for r in rows[7:]) and len(out) == 6
+
+
 def test_licenses(docs):
     got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
     for i, t in pairs(docs):
