@@ -1,33 +1,34 @@
 """License scans by patience alignment.
 
-A text is held against short license templates word by word (lower case, without
+A text is held against license templates word by word (lower case, without
 punctuation at either end). Words that occur exactly once in the text and once in
 the template are anchors; the longest increasing subsequence of their places is
 aligned; what lies between two aligned words on both sides is aligned again in the
 same way, where more words are unique. Coverage is the share of the template's
 words that are aligned.
 
-A long text mentions a license in a few words among many, so common words of the
-template are seldom unique in the whole. The text is therefore first cut to the
-stretches around its template words: runs of places where a word of the template
-stands, with gaps of at most GAP words. A stretch too poor in template words to
-reach the limit even if all of them were aligned is skipped; that bound is exact.
-Each remaining stretch is aligned as a text of its own, and the best one counts.
+A template of n words is looked for in every window of `spread` * n words (rounded
+up) of the text: its words may have that many foreign ones among them, but not lie
+scattered over a long text. A window is looked at from each place where a word of
+the template stands, which loses nothing: an alignment that fits a window also fits
+the one that begins at its first word. A window that holds too few of the template's
+words, counted with their repeats, to reach the limit or to beat the best one so far
+is skipped; that bound is exact. The best window counts, the first of equals.
 
-A stretch that holds a notice twice has few anchors or none. Where the alignment
-finds fewer words than the stretch's bound allows, the stretch is also cut at repeated
+A window that holds a notice twice has few anchors or none. Where the alignment
+finds fewer words than the window's bound allows, the window is also cut at repeated
 words: around each occurrence of a word of the template, up to its neighbouring
 occurrences, lies a span in which that word is unique. The word is taken as an anchor
 and the span aligned on both sides of it; spans that can't give more are skipped.
 
 Plan: one scan and one Arrow map, no shuffle; templates are a bounded table of
-fixed texts. Memory is one Arrow batch plus the word table of one text.
+fixed texts. Memory is one piece of an Arrow batch plus the word table of one text.
 
 Defined results: a null or empty text matches nothing; a text that matches no
 template has no row in `license_matches`, and one row with n_licenses 0 in
-`license_scan`; templates are reported in order of their names; rows that repeat an
-id are scanned one by one; an empty table gives an empty result; other columns are
-never looked at.
+`license_scan`; a template without a word matches nothing; templates are reported in
+order of their names; rows that repeat an id are scanned one by one; an empty table
+gives an empty result; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -36,29 +37,17 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simvane.llm.common import per_batch
+from simvane.llm.license_texts import TEMPLATES
 
-#: Notices by which works are put under public licenses.
-TEMPLATES = {
-    "all-rights-reserved": "All rights reserved.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    "bsd-3-clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "mit": "Released under the MIT License.",
-    "mit-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
 LIMIT = 0.85
-GAP = 8
+SPREAD = 2.0
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'()[]{}<>*#&|$%"
@@ -122,15 +111,19 @@ def patience(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def stretches(places: list[int], gap: int) -> Iterator[tuple[int, int]]:
-    """(first, after last) of runs of places with gaps of at most gap words."""
-    start = None
-    for k, i in enumerate(places):
-        if start is None:
-            start = i
-        if k + 1 == len(places) or places[k + 1] - i > gap + 1:
-            yield start, i + 1
-            start = None
+def windows(words: list[str], places: list[int], counts: Mapping[str, int], width: int) -> Iterator[tuple[int, int, int]]:
+    """(first, after last, bound) of the window of `width` words from each of places, those of template words; bound: how many words of the template the window holds."""
+    held: Counter[str] = Counter()
+    bound, k = 0, 0
+    for i in places:
+        while k < len(places) and places[k] < i + width:
+            w = words[places[k]]
+            held[w] += 1
+            bound += held[w] <= counts[w]
+            k += 1
+        yield i, min(i + width, len(words)), bound
+        bound -= held[words[i]] <= counts[words[i]]
+        held[words[i]] -= 1
 
 
 def spans(text: list[str], template: list[str], counts: Mapping[str, int]) -> Iterator[tuple[int, int, int, int]]:
@@ -173,26 +166,26 @@ def aligned(text: list[str], template: list[str], counts: Mapping[str, int], mos
     return best
 
 
-def scan_text(text: str, templates: Mapping[str, list[str]], limit: float, gap: int) -> list[tuple[str, float, int, int, int]]:
+def scan_text(text: str, templates: Mapping[str, list[str]], limit: float, spread: float = SPREAD) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, aligned words, first word, after last word in the folded text) of each template that covers `limit` or more."""
     words = folded(text)
     out = []
     have = set(words)
     for name, template in templates.items():
-        counts = Counter(template)
         n = len(template)
-        if sum(c for w, c in counts.items() if w in have) < limit * n:
+        counts = Counter(template)
+        if not n or sum(c for w, c in counts.items() if w in have) < limit * n:
             continue
         best = (0, 0, 0)
-        for a, b in stretches([i for i, w in enumerate(words) if w in counts], gap):
-            here = Counter(words[a:b])
-            most = sum(min(c, here[w]) for w, c in counts.items())
+        for a, b, most in windows(words, [i for i, w in enumerate(words) if w in counts], counts, ceil(spread * n)):
             if most < limit * n or most <= best[0]:
                 continue
             run = aligned(words[a:b], template, counts, most, limit * n)
             if len(run) > best[0]:
                 best = (len(run), a + run[0][0], a + run[-1][0] + 1)
-        if best[0] >= limit * n:
+                if best[0] == n:
+                    break
+        if best[0] and best[0] >= limit * n:
             out.append((name, best[0] / n, *best))
     return out
 
@@ -201,12 +194,12 @@ MATCH = "struct<license:string,coverage:double,n_words:int,word_from:int,word_to
 _FIELDS = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("n_words", pa.int32()), ("word_from", pa.int32()), ("word_to", pa.int32())])
 
 
-def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, limit: float = LIMIT, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, limit: float = LIMIT, spread: float = SPREAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_licenses, license (the first one by coverage, words, name), coverage, matches."""
     parsed = {name: folded(templates[name]) for name in sorted(templates)}
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        matches = [[dict(zip(("license", "coverage", "n_words", "word_from", "word_to"), m, strict=True)) for m in scan_text(x.as_py() or "", parsed, limit, gap)] for x in batch.column(1)]
+        matches = [[dict(zip(("license", "coverage", "n_words", "word_from", "word_to"), m, strict=True)) for m in scan_text(x.as_py() or "", parsed, limit, spread)] for x in batch.column(1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(matches, pa.list_(_FIELDS))], names=["doc_id", "matches"])
 
     kind = docs.schema[id_col].dataType.simpleString()
