@@ -40,7 +40,7 @@ def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.Mix(table(spark, sf_dir, "documents")).taken().drop("mark")
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken().drop("mark", "nth")
 
 
 def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
