@@ -12,27 +12,29 @@ aggregation with partial sums finds the first place of each window, so a window
 that a third of all documents share costs one row for each task. What goes back
 to the documents is the list of *first* places, at most one row for each window,
 never one for each pair of equal windows; so no join key is hotter than the
-document with the most windows. Texts are shuffled once, by their document.
+document with the most windows. Texts are shuffled once, by their document; equal rows
+are made one with a count before that, and are told apart again at the end.
 
 Defined results: a null text stays null and has no lines; documents of fewer than
 `window` lines are untouched; rows that repeat an id with another text are told
 apart by the text; exact repeats of a row count as later copies of each other,
-one of them stays whole; an empty table gives an empty result; other columns are
-carried along, whatever their names.
+one of them stays whole; ids are integers (others raise); an empty table gives an
+empty result; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from simvane.llm import textkit as K
-from simvane.llm.common import id_or_last, per_batch, text_mark
+from simvane.llm.common import id_or_last, integer_id, per_batch, row_mark, text_mark
 
 WINDOW = 3
+KEYS = ["d", "mark", "own"]
 
 
 def _spoken(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,8 +46,8 @@ def _spoken(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _windows(batch: pa.RecordBatch, window: int):
-    """For one batch of (d, mark, text): rows (h1, h2, d, mark, at) of all windows."""
-    for lo, hi, data, offsets in K.chunks(batch.column(2)):
+    """For one batch of (d, mark, own, text): rows (h1, h2, d, mark, own, at) of all windows."""
+    for lo, hi, data, offsets in K.chunks(batch.column(3)):
         starts, ends, first = _spoken(data, offsets)
         last = np.repeat(first[1:], np.diff(first))
         ok = np.flatnonzero(np.arange(len(starts)) + window <= last)
@@ -54,18 +56,21 @@ def _windows(batch: pa.RecordBatch, window: int):
         doc = np.repeat(np.arange(lo, hi), np.diff(first))[ok]
         at = ok - np.repeat(first[:-1], np.diff(first))[ok]
         hashes = [K.runs_of(K.segment_hashes(data, starts, ends, seed), window, seed)[ok] for seed in (1, 2)]
-        yield pa.RecordBatch.from_arrays([K.long_array(hashes[0]), K.long_array(hashes[1]), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(at.astype(np.int32))], names=["h1", "h2", "d", "mark", "at"])
+        yield pa.RecordBatch.from_arrays([*map(K.long_array, hashes), *(batch.column(i).take(pa.array(doc)) for i in range(3)), pa.array(at.astype(np.int32))], names=["h1", "h2", *KEYS, "at"])
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(id_or_last(id_col).cast("long").alias("d"), text_mark(text_col).alias("mark"), F.col(text_col).alias("text"))
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """d and mark (the id and the text) and own (the whole row) of each row of docs."""
+    integer_id(docs, id_col)
+    return [id_or_last(docs[id_col]).cast("long").alias("d"), text_mark(docs[text_col]).alias("mark"), row_mark(docs).alias("own")]
 
 
 def first_places(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document that holds the first of some window: d, mark, places (line numbers among lines with a word)."""
-    windows = _keyed(docs, id_col, text_col).mapInArrow(per_batch(lambda b: _windows(b, window)), "h1 long, h2 long, d long, mark long, at int")
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("d", "mark", "at")).alias("f"))
-    return first.select("f.*").groupBy("d", "mark").agg(F.collect_list("at").alias("places"))
+    """One row for each document that holds the first of some window: d, mark, own, places (line numbers among lines with a word)."""
+    rows = docs.select(*_keys(docs, id_col, text_col), docs[text_col].alias("text"))
+    windows = rows.mapInArrow(per_batch(lambda b: _windows(b, window)), "h1 long, h2 long, d long, mark long, own long, at int")
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct(*KEYS, "at")).alias("f"))
+    return first.select("f.*").groupBy(*KEYS).agg(F.collect_list("at").alias("places"))
 
 
 def _removed(first: np.ndarray, places: pa.Array, window: int) -> np.ndarray:
@@ -80,14 +85,15 @@ def _removed(first: np.ndarray, places: pa.Array, window: int) -> np.ndarray:
     return K.covered(np.flatnonzero(later), len(last), window)
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with all their columns, later copies of windows removed from the text, and columns n_lines_ (lines with a word) and n_removed_."""
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), id_or_last(id_col).cast("long").alias("d"), text_mark(text_col).alias("mark"))
-    firsts = first_places(docs, window, id_col, text_col)
-    joined = keyed.join(firsts, ["d", "mark"], "left")
-    # of exact repeats of a row, only one holds the first places
-    twin = F.row_number().over(Window.partitionBy("d", "mark").orderBy("d", "mark"))
-    joined = joined.withColumn("places", F.when(twin == 1, F.coalesce("places", F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))).select("row", "places")
+def _deduped(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """row (the columns of docs, the text without later copies of windows), n_lines (lines with a word) and n_removed."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_keys(docs, id_col, text_col))
+    each = rows.groupBy(*KEYS).agg(F.first("row").alias("row"), F.count("*").alias("n"))
+    joined = each.join(first_places(docs, window, id_col, text_col), KEYS, "left")
+    # of equal rows, only one holds the first places
+    none = F.array().cast("array<int>")
+    joined = joined.select("row", "places", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("nth"))
+    joined = joined.select("row", F.when(F.col("nth") == 0, F.coalesce("places", none)).otherwise(none).alias("places"))
     at = docs.columns.index(text_col)
 
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -117,22 +123,33 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
                     text = kept.decode()
                 new.append(text)
         fields[at] = pa.array(new, fields[at].type)
-        fields += [pa.array(np.concatenate(n_lines)), pa.array(np.concatenate(n_removed))]
-        return pa.RecordBatch.from_arrays(fields, names=[f.name for f in schema])
+        made = pa.StructArray.from_arrays(fields, fields=[row.type.field(i) for i in range(row.type.num_fields)])
+        return pa.RecordBatch.from_arrays([made, pa.array(np.concatenate(n_lines)), pa.array(np.concatenate(n_removed))], names=["row", "n_lines", "n_removed"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines_", T.LongType()), T.StructField("n_removed_", T.LongType())])
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     return joined.mapInArrow(per_batch(clean), schema)
 
 
+def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines_", "n_removed_")) -> DataFrame:
+    """The rows of docs with all their columns, later copies of windows removed from the text, and the two `counts`: lines with a word and lines removed. A name that docs has is refused."""
+    if taken := set(counts) & set(docs.columns):
+        raise ValueError(f"docs has columns {sorted(taken)}; name the counts otherwise")
+    out = _deduped(docs, window, id_col, text_col)
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns), F.col("n_lines").alias(counts[0]), F.col("n_removed").alias(counts[1]))
+
+
 def line_digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the text left, null if the text is)."""
-    out = dedup_lines(docs.select(id_col, text_col), window, id_col, text_col)
-    return out.select(F.col(id_col).alias("doc_id"), F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.sha2(F.col(text_col).cast("binary"), 256).alias("kept_sha256"))
+    out = _deduped(docs.select(id_col, text_col), window, id_col, text_col)
+    return out.select(F.col("row")[id_col].alias("doc_id"), "n_lines", "n_removed", F.sha2(F.col("row")[text_col].cast("binary"), 256).alias("kept_sha256"))
 
 
 def dedup_documents(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """dedup_lines with the columns of docs alone; rows left without a character are dropped if a line of theirs was removed, and n_chars, where docs has it, follows the text."""
-    out = dedup_lines(docs, window, id_col, text_col).filter(~((F.col("n_removed_") > 0) & (F.length(text_col) == 0)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed_") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """The rows and columns of docs, later copies of windows removed from the text; rows left without a character are dropped if a line of theirs was removed, and n_chars, where docs has it, follows the text."""
+    out = _deduped(docs, window, id_col, text_col)
+    text, changed = F.col("row")[text_col], F.col("n_removed") > 0
+    out = out.filter(~(changed & (F.length(text) == 0)))
+    new = {c: F.col("row")[c] for c in docs.columns}
+    if "n_chars" in new:
+        new["n_chars"] = F.when(changed, F.length(text)).otherwise(new["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(x.alias(c) for c, x in new.items()))
