@@ -1,8 +1,9 @@
 """Quality rules: repetition coverage.
 
 For every document, word n-grams of several lengths are hashed with a rolling
-hash in numpy, and the characters that lie inside n-grams found twice or more in
-the same document are measured, likewise the characters of repeated lines. A
+hash in numpy, each length's from that of the one before by the next word, and the
+characters that lie inside n-grams found twice or more in the same document are
+measured, likewise the characters of repeated lines. A
 document is rejected when a share exceeds the limit for its n-gram length or the
 limit for lines, or when a base rule fails.
 
@@ -40,6 +41,7 @@ SIGNALS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 _MARK = np.uint64(0x9E3779B97F4A7C15)
+_ROLL = np.uint64(0xD1342543DE82EF95)
 
 
 def _per_doc(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -70,12 +72,15 @@ def measure(data: np.ndarray, offsets: np.ndarray, gram_limits: Mapping[int, flo
     out["n_repeat_words"] = _per_doc(K.covered(at, len(h), 3), words.first)
 
     last = words.doc_end()
+    key, length = np.zeros(len(at), np.uint64), 0
     for n in sorted(gram_limits):  # an n-gram repeats only where each shorter one does
-        at = at[at + n <= last[at]]
-        key = np.zeros(len(at), np.uint64)
-        for j in range(n):
-            key = (key + h[at + j]) * (_MARK | np.uint64(4))
-        at = at[K.repeated(K.mix(key) + salt[at])]
+        held = at + n <= last[at]
+        at, key = at[held], key[held]
+        while length < n:  # the hash rolls on by one word
+            key = key * _ROLL + h[at + length]
+            length += 1
+        again = K.repeated(K.mix(key) + salt[at])
+        at, key = at[again], key[again]
         out[f"gram_{n}"] = _per_doc(K.covered(at, len(h), n) * word_points, words.first) if len(at) else np.zeros(docs, np.int64)
 
     starts, ends, first = K.lines_of(data, offsets)
