@@ -49,15 +49,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simvane.llm import textkit as K
-from simvane.llm.common import NO_ID, drop_folder, id_or_last, per_batch, shared_folder, stored, text_mark
+from simvane.llm.common import NO_ID, drop_folder, id_or_last, integer_id, per_batch, row_mark, shared_folder, stored, text_mark
 
 BANDS, ROWS = 28, 4
 SHINGLE = 5
+#: Documents, and elements of their sets, that a block of a comparison has at most, but for its luck in the dealing and for one longer document.
 BLOCK = 1000
+BLOCK_ELEMENTS = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LATE = np.uint64(2**64 - 1)
 
@@ -112,7 +114,7 @@ def sketches(elements: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
 
 def _signed(batch: pa.RecordBatch, shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     """For rows (d, mark, text): d, mark, s1, s2 (the word sequence), n_shingles, bands (hashes, as bytes)."""
-    for lo, hi, data, offsets in K.chunks(batch.column(2), 3 * K.CHUNK // 2):
+    for lo, hi, data, offsets in K.chunks(batch.column(2), 4 * K.CHUNK):
         elements, first, words = shingle_sets(data, offsets, shingle)
         docs = hi - lo
         sketch = sketches(elements, first, bands * rows)
@@ -177,7 +179,7 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all left with all right sets."""
     total = np.zeros((len(left), len(right)), np.float32)
     both = np.intersect1d(np.concatenate(left), np.concatenate(right))
-    step = max(1, 16_000_000 // (len(left) + len(right)))
+    step = max(1, 4_000_000 // (len(left) + len(right)))
     for lo in range(0, len(both), step):
         part = both[lo : lo + step]
 
@@ -196,35 +198,39 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _grouped(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """d, mark and n_shingles of each row of docs, root (a number for each component, null without words) and least (its smallest d)."""
     folder = shared_folder(docs.sparkSession)
+    integer_id(docs, id_col)
     keyed = docs.select(id_or_last(id_col).cast("long").alias("d"), text_mark(text_col).alias("mark"), F.col(text_col).alias("text"))
     signed = keyed.mapInArrow(per_batch(lambda b: _signed(b, shingle, bands, rows)), "d long, mark long, s1 long, s2 long, n_shingles long, bands binary")
     signed = stored(signed, f"{folder}/signed")
 
     # classes of equal word sequences; the smallest member stands for its class, under a number fixed when this is stored
-    heads = signed.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min(_key()).alias("key"), F.max("bands").alias("bands"))
-    heads = stored(heads.select("s1", "s2", "key.d", "key.mark", "bands", F.monotonically_increasing_id().alias("node")), f"{folder}/heads")
+    heads = signed.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min(_key()).alias("key"), F.max("bands").alias("bands"), F.max("n_shingles").alias("n"))
+    heads = stored(heads.select("s1", "s2", "key.d", "key.mark", "bands", "n", F.monotonically_increasing_id().alias("node")), f"{folder}/heads")
 
     def buckets(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
         each = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(each), batch.column(0).take(pa.array(np.repeat(np.arange(n), bands)))], names=["bucket", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(each), *(batch.column(i).take(pa.array(np.repeat(np.arange(n), bands))) for i in (0, 2))], names=["bucket", "node", "n"])
 
-    spread = heads.select("node", "bands").mapInArrow(per_batch(buckets), "bucket long, node long")
+    spread = heads.select("node", "bands", "n").mapInArrow(per_batch(buckets), "bucket long, node long, n long")
     hubs = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").select("bucket", "hub")
-    pairs = spread.join(hubs, "bucket").filter("node <> hub").groupBy("hub", "node").agg(F.count("*").alias("shared"))
+    pairs = spread.join(hubs, "bucket").filter("node <> hub").groupBy("hub", "node").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
     pairs = stored(pairs, f"{folder}/pairs")
     candidates = pairs.select("node").union(pairs.select("hub")).distinct()
     wanted = heads.select("node", "d", "mark").join(candidates, "node")
-    # rows that are exact repeats have one text
-    text_of = stored(keyed.join(wanted, ["d", "mark"]).select(F.col("node").alias("at"), "text"), f"{folder}/texts")
+    # one text for each class, however often its smallest row is repeated
+    text_of = stored(keyed.join(wanted, ["d", "mark"]).dropDuplicates(["d", "mark"]).select(F.col("node").alias("at"), "text"), f"{folder}/texts")
 
     def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * inter >= percent * (a + b - inter)
 
     # 1: each document with the hub it shares most buckets with
-    best = pairs.groupBy("node").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    fans = best.groupBy("hub").agg(F.count("*").alias("n")).select("hub", salts.alias("salts"))
+    best = pairs.groupBy("node").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"), F.max("n").alias("n"))
+
+    def blocks(rows: Column, elements: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(rows / BLOCK), F.ceil(elements / BLOCK_ELEMENTS)).cast("int")
+
+    fans = best.groupBy("hub").agg(blocks(F.count("*"), F.sum("n")).alias("salts"))
     asks = best.join(fans, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))
     hub_rows = fans.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     asked = asks.unionByName(hub_rows)
@@ -258,8 +264,8 @@ def _grouped(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands:
     root_of = roots.select(F.col("node").alias("r_node"), "root")
 
     # 3: groups that span several components
-    group = pairs.select("hub", "node").unionByName(pairs.select("hub", F.col("hub").alias("node")).distinct())
-    group = group.join(root_of, F.col("node") == F.col("r_node"), "left").select("hub", "node", F.coalesce("root", "node").alias("root"))
+    group = pairs.select("hub", "node", "n").unionByName(pairs.select("hub", F.col("hub").alias("node")).distinct().withColumn("n", F.lit(0).cast("long")))
+    group = group.join(root_of, F.col("node") == F.col("r_node"), "left").select("hub", "node", F.coalesce("root", "node").alias("root"), F.col("n").alias("elements"))
     group = stored(group, f"{folder}/group")
     by_root = group.groupBy("hub", "root").agg(F.count("*").alias("n"))
     open_ = by_root.groupBy("hub").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.count("*").alias("n_roots")).filter("n_roots > 1")
@@ -295,8 +301,10 @@ def _grouped(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands:
 
     hopeful = live.select(F.col("node").alias("l_node"), F.lit(True).alias("asks"))
     members = group.join(spans, "hub").join(hopeful, F.col("node") == F.col("l_node"), "left").withColumn("asks", F.coalesce("asks", F.lit(False)) & (F.col("root") != F.col("major")))
-    sizes = members.groupBy("hub").agg(F.count_if("asks").alias("n_asks"), F.count("*").alias("n")).filter("n_asks > 0")
-    parts = sizes.select("hub", F.ceil(F.col("n_asks") / BLOCK).cast("int").alias("a_parts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("b_parts"))
+    # written, so that what follows sums up before it shuffles by hub, and a hub's rows can be split among tasks
+    members = stored(members.select("hub", "node", "root", "asks", "elements"), f"{folder}/members")
+    sizes = members.groupBy("hub").agg(F.count_if("asks").alias("n_asks"), F.sum(F.when(F.col("asks"), F.col("elements"))).alias("asked"), F.count("*").alias("n"), F.sum("elements").alias("held")).filter("n_asks > 0")
+    parts = sizes.select("hub", blocks(F.col("n_asks"), F.col("asked")).alias("a_parts"), blocks(F.col("n"), F.col("held")).alias("b_parts"))
     cells = members.select("hub", "node", "root", "asks").join(parts, "hub")
     mine_b = F.pmod(F.xxhash64("node"), F.col("b_parts")).cast("int")
     mine_a = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("a_parts")).cast("int")
@@ -331,6 +339,8 @@ def _grouped(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands:
 
     # 4
     roots = components(every, f"{folder}/second").select(F.col("node").alias("r_node"), "root")
+    for done in ("pairs", "texts", "compared", "first", "group", "live", "members"):  # nothing lazy reads them any more
+        drop_folder(docs.sparkSession, f"{folder}/{done}")
 
     named = heads.select("s1", "s2", "d", "node").join(roots, F.col("node") == F.col("r_node"), "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "d", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("d").alias("least"))
@@ -351,12 +361,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, with all their columns, of which one stays of each group: the one with the smallest id, and one of its exact repeats. Rows without words stay."""
+    """The rows of docs, with all their columns, of which one stays of each group: the one with the smallest id, and one of the rows that repeat its id and text. Rows without words stay."""
     text_col = options.get("text_col", "text")
     marked = _grouped(docs, id_col=id_col, **options)
-    bare = F.col("root").isNull()  # without words: each stays
-    stay = marked.groupBy("root", F.when(bare, F.col("d")).alias("a"), F.when(bare, F.col("mark")).alias("b")).agg(F.min(F.struct("d", "mark")).alias("first"), F.max("n_shingles").alias("n_"))
-    stay = stay.select(F.col("first.d").alias("d_"), F.col("first.mark").alias("mark_"), "n_")
-    joined = docs.join(stay, (id_or_last(id_col) == F.col("d_")) & (text_mark(text_col) == F.col("mark_")))
-    nth = F.row_number().over(Window.partitionBy("d_", "mark_").orderBy("d_", "mark_"))
-    return joined.withColumn("nth_", nth).filter((F.col("nth_") == 1) | (F.col("n_") == 0)).select(*docs.columns)
+    stay = marked.filter("root is not null").groupBy("root").agg(F.min(_key()).alias("first")).select("first.*")
+    bare = ~F.coalesce(docs[text_col].rlike("[^ \t\n\x0b\f\r]"), F.lit(False))
+    # the row is a struct, so its names clash with none; repeats are put together before they are shuffled
+    rows = docs.filter(~bare).select(F.struct(*docs.columns).alias("row"), id_or_last(docs[id_col]).cast("long").alias("d"), text_mark(docs[text_col]).alias("mark"), row_mark(docs).alias("own"))
+    kept = rows.groupBy("d", "mark").agg(F.min_by("row", "own").alias("row")).join(stay, ["d", "mark"], "left_semi")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns)).unionByName(docs.filter(bare))
