@@ -1,20 +1,27 @@
 """Exact top-k search by inner product: a Voronoi kNN join.
 
-Vectors are turned into integers, floor(scale * x). With one more component,
-sqrt(M^2 - |x|^2) for data and 0 for queries, M the largest length, nearest in
-Euclidean distance is the same as highest inner product, so bounds by distance
-hold. Pivots split the data into Voronoi cells. Each cell is summed up by its
-radius and the k + 1 smallest distances of different ids to its pivot. Queries form groups, each
-around a pivot, and get from the summaries a distance within which every one of
-them has k neighbours of other ids; a data row goes only to the groups whose bound it can
-meet by the triangle inequality. A group is solved locally, block by block: a
+Vectors are turned into integers, floor(scale * x). Pivots, vectors of the table
+themselves, split the data into Voronoi cells by Euclidean distance, and each query
+belongs to the pivot that it scores highest with. A cell is summed up by the k + 1
+rows of different ids that score highest with its pivot and by a histogram of the
+distances to the pivot. Scored against all summaries, a query gets a score that k
+candidates reach for certain; a row x of the cell of pivot p can reach it only if
+|x - p| >= (that score - q p) / |q|, by q x <= q p + |q| |x - p|. The least such
+distance over a group of queries is the group's bound for that cell: rows nearer to
+their pivot are not replicated to the group. A group is solved locally, block by block: a
 block is a bounded number of queries against a bounded number of data rows, and
 the k best of all blocks of a query are merged.
 
-Plan: equal rows are put together first; one pass finds dimension and length, one assigns cells and summaries, one
-replicates. Pivots (at most `pivots`), summaries (pivots * (k + 2) numbers) and
-group bounds are all that is collected or broadcast. A cell with a third of all
-rows, such as one vector repeated, is spread over as many blocks as it fills.
+Groups are queries of pivots near to each other. Neighbouring ones are put together
+as long as the histograms say that together they need fewer rows than apart: where
+bounds prune nothing, GROUP_QUERIES queries share one copy of the rows; where cells
+are far apart, groups stay small and get little more than their own cells.
+
+Plan: equal rows are put together first; one pass finds dimension and length, one assigns cells, one
+sums up, one replicates. Pivots (at most `pivots`), summaries (pivots * (k + 1) vectors),
+histograms and group bounds (pivots * pivots numbers at most) are all that is collected
+or broadcast. A cell with a third of all rows, such as one vector repeated, is spread
+over as many blocks as it fills; a group's queries go to as many blocks as its rows fill.
 
 Scores are exact: by floating point where all sums stay below 2^53, else by 64-bit
 integers.
@@ -31,7 +38,7 @@ than k candidates all are returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +52,8 @@ SCALE = 1024
 LARGEST = 2**63 - 1
 PIVOTS = 64
 GROUP_QUERIES = 1024
-BLOCK_ROWS = 8192
+BLOCK_BYTES = 1 << 23
+BINS = 64
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -81,95 +89,131 @@ def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> D
     return vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(per_batch(turn), "vec_id long, dim int, v binary, norm2 double")
 
 
-def _lifted(x: np.ndarray, norm2: np.ndarray, top: float) -> np.ndarray:
-    return np.column_stack((x.astype(np.float64), np.sqrt(np.maximum(0.0, top - norm2))))
-
-
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K_BEST, scale: int = SCALE, pivots: int = PIVOTS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k candidates of highest integer inner product for each row of vectors where is_query, a condition on vec_id, holds."""
+def chained(pivot: np.ndarray) -> list[int]:
+    """The pivots in an order in which each is followed by the nearest one left."""
+    gap = _distances(pivot, pivot)
+    order, left = [0], set(range(1, len(pivot)))
+    while left:
+        order.append(min(left, key=lambda j: (gap[order[-1], j], j)))
+        left.remove(order[-1])
+    return order
+
+
+def grouped(order: list[int], queries: dict[int, int], needs: dict[int, np.ndarray], rows_for: Callable[[np.ndarray], int], most: int = GROUP_QUERIES) -> list[list[int]]:
+    """Pivots with queries, dealt to groups: neighbours in `order` go together while their queries are no more than `most` and they need fewer rows together than apart."""
+    groups: list[tuple[list[int], np.ndarray, int]] = []
+    for g in (g for g in order if g in queries):
+        need, rows = needs[g], rows_for(needs[g])
+        if groups:
+            held, before, had = groups[-1]
+            both = np.minimum(before, need)
+            together = rows_for(both)
+            if sum(queries[x] for x in held) + queries[g] <= most and together < had + rows:
+                groups[-1] = ([*held, g], both, together)
+                continue
+        groups.append(([g], need, rows))
+    return [held for held, _, _ in groups]
+
+
+def replicated(vectors: DataFrame, is_query: Column, k: int = K_BEST, scale: int = SCALE, pivots: int = PIVOTS, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame | None, int, int]:
+    """(g, qb, db, asks, vec_id, v: queries and the rows that their groups need, dealt to blocks; rows that take part; dimension); None for the first without queries."""
     spark = vectors.sparkSession
     folder = shared_folder(spark)
-    schema = "query_id long, rank int, vec_id long, score long"
     different = quantised(vectors, scale, id_col, vector_col).groupBy("vec_id", "dim", "v").agg(F.first("norm2").alias("norm2"), F.count("*").alias("copies"))
     rows = stored(different, f"{folder}/vectors")
     shape = rows.groupBy("dim").agg(F.sum("copies").alias("in_rows"), F.count("*").alias("n"), F.max("norm2").alias("top")).orderBy(F.desc("in_rows"), F.desc("dim")).first()
     if shape is None:
-        return spark.createDataFrame([], schema)
+        return None, 0, 0
     rows, top, dim, n_rows = rows.filter(F.col("dim") == shape["dim"]), shape["top"], int(shape["dim"]), int(shape["n"])
     flagged = rows.withColumn("is_query", is_query)
-    n_queries = flagged.filter("is_query").count()
-    if not n_queries:
-        return spark.createDataFrame([], schema)
+    if flagged.filter("is_query").limit(1).count() == 0:
+        return None, n_rows, dim
 
-    chosen = rows.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.first("norm2").alias("norm2")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    x = np.stack([np.frombuffer(r["v"], "<i8") for r in chosen])
-    pivot = _lifted(x, np.array([r["norm2"] for r in chosen]), top)
+    # a few more than needed, as some may be equal; no shuffle of vectors
+    sample = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(4 * pivots).collect()
+    pivot = _matrix(pa.array(list(dict.fromkeys(bytes(r["v"]) for r in sample))[:pivots], pa.binary())).astype(np.float64)
     n_pivots = len(pivot)
-    slack = 1e-6 * (1.0 + np.sqrt(top))
+    longest = np.sqrt(top)
 
     def assign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = _matrix(batch.column(1))
-        lifted = _lifted(m, batch.column(2).to_numpy(), top)
-        d = _distances(lifted, pivot)
-        cell = d.argmin(1).astype(np.int32)
-        query = np.column_stack((m.astype(np.float64), np.zeros(len(m))))
-        dq = _distances(query, pivot)
-        near = dq.argmin(1).astype(np.int32)
-        at = np.arange(len(m))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(cell), pa.array(d[at, cell]), pa.array(near), pa.array(dq[at, near])], names=["vec_id", "v", "is_query", "cell", "d", "near", "dq"])
-
-    assigned = flagged.select("vec_id", "v", "norm2", "is_query").mapInArrow(per_batch(assign), "vec_id long, v binary, is_query boolean, cell int, d double, near int, dq double")
+        m = _matrix(batch.column(1)).astype(np.float64)
+        d, score = _distances(m, pivot), m @ pivot.T
+        cell, near, at = d.argmin(1), score.argmax(1), np.arange(len(m))
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(cell.astype(np.int32)), pa.array(d[at, cell]), pa.array(score[at, cell]), pa.array(near.astype(np.int32))], names=["vec_id", "v", "is_query", "cell", "d", "along", "near"])
+
+    assigned = flagged.select("vec_id", "v", "is_query").mapInArrow(per_batch(assign), "vec_id long, v binary, is_query boolean, cell int, d double, along double, near int")
     assigned = stored(assigned, f"{folder}/assigned")
 
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    # summaries: of each cell the k + 1 rows of different ids that score highest with its pivot, and how far its rows are
+    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for b in batches:
-            cell, d, ids = (b.column(i).to_numpy() for i in range(3))
-            for c in np.unique(cell).tolist():
-                far, who = best.get(c, (np.zeros(0), np.zeros(0, np.int64)))
-                best[c] = nearest_ids(np.concatenate((far, d[cell == c])), np.concatenate((who, ids[cell == c])))
-        n = [len(far) for far, _ in best.values()]
-        columns = [pa.array(np.repeat(np.array(list(best), np.int32), n)), *(pa.array(np.concatenate([b[i] for b in best.values()]) if best else np.zeros(0, kind)) for i, kind in enumerate((np.float64, np.int64)))]
-        yield pa.RecordBatch.from_arrays(columns, names=["cell", "d", "vec_id"])
-
-    def nearest_ids(d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k + 1 smallest distances of different ids, ascending, and the ids."""
-        order = np.lexsort((ids, d))
-        at = order[np.sort(np.unique(ids[order], return_index=True)[1])[: k + 1]]
-        return d[at], ids[at]
-
-    # at most (k + 1) rows for each cell and task, put together before they are collected
-    by_id = assigned.select("cell", "d", "vec_id").mapInArrow(summarise, "cell int, d double, vec_id long").groupBy("cell", "vec_id").agg(F.min("d").alias("d"))
-    nth = F.row_number().over(Window.partitionBy("cell").orderBy("d", "vec_id"))
-    least = by_id.withColumn("nth", nth).filter(F.col("nth") <= k + 1).select("cell", "d", "vec_id").collect()
-    least_cell = np.array([r["cell"] for r in least], np.int64)
-    least_d, least_id = np.array([r["d"] for r in least], np.float64), np.array([r["vec_id"] for r in least], np.int64)
-    asked = {r["near"]: (r["n"], r["u"]) for r in assigned.filter("is_query").groupBy("near").agg(F.count("*").alias("n"), F.max("dq").alias("u")).collect()}
-
-    # bounds for each query pivot; distance from a query of radius u at pivot g to a row at distance d of pivot j is at most u + |g j| + d
-    gap = _distances(pivot, pivot)
-    reach = np.full((n_pivots, n_pivots), np.inf)
-    for g, (_, u) in asked.items():
-        upper, _ = nearest_ids(u + gap[g, least_cell] + least_d, least_id)
-        within = upper[k] if len(upper) > k else np.inf  # k ids at least besides the query's own
-        # a row of cell j can be needed only if its distance to pivot j is at least this
-        reach[g] = gap[g] - u - within - slack
-    # pivots with queries are put together into groups of about GROUP_QUERIES queries, 8 groups at least if there are as many pivots
-    n_groups = max(1, min(len(asked), max(8, -(-n_queries // GROUP_QUERIES))))
-    group_of, load = np.full(n_pivots, -1, np.int32), np.zeros(n_groups, np.int64)
-    for g in sorted(asked, key=lambda g: (-asked[g][0], g)):
-        group_of[g] = load.argmin()
-        load[group_of[g]] += asked[g][0]
-    need = np.full((n_groups, n_pivots), np.inf)
-    for g in asked:
-        need[group_of[g]] = np.minimum(need[group_of[g]], reach[g])
-    data_blocks = max(1, -(-n_rows // BLOCK_ROWS))
-    query_blocks = [max(1, -(-int(n) // GROUP_QUERIES)) for n in load]
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            cell, along, ids = (held.column(i).to_numpy() for i in range(3))
+            order = np.lexsort((ids, -along, cell))
+            _, first = np.unique(np.column_stack((cell[order], ids[order])), axis=0, return_index=True)
+            order = order[np.sort(first)]
+            rank = np.arange(len(order)) - np.searchsorted(cell[order], cell[order], "left")
+            held = held.take(pa.array(order[rank <= k])).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+
+    best_of = assigned.select("cell", "along", "vec_id", "v").mapInArrow(highest, "cell int, along double, vec_id long, v binary").groupBy("cell", "vec_id").agg(F.max("along").alias("along"), F.max_by("v", "along").alias("v"))
+    nth = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("along"), "vec_id"))
+    found = best_of.withColumn("nth", nth).filter(F.col("nth") <= k + 1).select("vec_id", "v").collect()
+    summary = list({r["vec_id"]: r for r in found}.values())  # an id counts once, also where its vectors lie in several cells
+    known_ids = np.array([r["vec_id"] for r in summary], np.int64)
+    known = _matrix(pa.array([bytes(r["v"]) for r in summary], pa.binary())).astype(np.float64)
+    width = 2 * longest / BINS or 1.0
+    bins = assigned.groupBy("cell", F.least(F.floor(F.col("d") / width), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
+    held = np.zeros((n_pivots, BINS + 1), np.int64)
+    for r in bins:
+        held[r["cell"], r["bin"]] = r["n"]
+    at_least = held[:, ::-1].cumsum(1)[:, ::-1]  # rows of a cell from a bin on
+
+    def rows_for(need: np.ndarray) -> int:
+        """Rows with at least the distances of need to their pivots, by the histograms: no fewer than there are."""
+        with np.errstate(invalid="ignore"):
+            bin_ = np.clip(np.floor(need / width), 0, BINS - 1).astype(int)
+        return int(at_least[np.arange(n_pivots), bin_].sum())
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For the queries of each pivot in a task: how many, and the least distance to each pivot that one of them needs."""
+        out: dict[int, tuple[int, np.ndarray]] = {}
+        for b in batches:
+            q = _matrix(b.column(1)).astype(np.float64)
+            length = np.sqrt((q * q).sum(1))
+            score = q @ known.T
+            score[b.column(0).to_numpy()[:, None] == known_ids[None, :]] = -np.inf
+            reached = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q), -np.inf)
+            slack = 1e-9 * (1.0 + length * longest)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = (reached[:, None] - slack[:, None] - q @ pivot.T) / length[:, None]
+            need = np.where(np.isnan(need) | (length[:, None] == 0), -np.inf, need) - 1e-6 * (1.0 + longest)
+            for g in np.unique(near := b.column(2).to_numpy()).tolist():
+                n, least = out.get(g, (0, np.full(n_pivots, np.inf)))
+                out[g] = n + int((near == g).sum()), np.minimum(least, need[near == g].min(0))
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([n for n, _ in out.values()], pa.int64()), pa.array([x.tolist() for _, x in out.values()], pa.list_(pa.float64()))], names=["near", "n", "need"])
+
+    each = assigned.filter("is_query").select("vec_id", "v", "near").mapInArrow(bound, "near int, n long, need array<double>")
+    asked = each.select("near", "n", F.posexplode("need").alias("cell", "need")).groupBy("near", "cell").agg(F.sum("n").alias("n"), F.min("need").alias("need")).collect()
+    counts = {r["near"]: r["n"] for r in asked}
+    needs = {g: np.full(n_pivots, -np.inf) for g in counts}
+    for r in asked:
+        needs[r["near"]][r["cell"]] = r["need"]
+    groups = grouped(chained(pivot), counts, needs, rows_for)
+    group_of, n_groups = np.full(n_pivots, -1, np.int32), len(groups)
+    for i, held_by in enumerate(groups):
+        group_of[held_by] = i
+    need = np.stack([np.min([needs[g] for g in held_by], axis=0) for held_by in groups])
+    block_rows = max(1, BLOCK_BYTES // (8 * dim))
+    data_blocks = np.array([max(1, -(-rows_for(x) // block_rows)) for x in need])
+    query_blocks = [max(1, -(-sum(counts[g] for g in held_by) // GROUP_QUERIES)) for held_by in groups]
 
     def spread(ids: np.ndarray, n: int | np.ndarray) -> np.ndarray:
         z = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -178,24 +222,34 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K_BEST, scale: int = SC
     names = ["g", "qb", "db", "asks", "vec_id", "v"]
 
     def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Each query once for each data block, each needed data row once for each group and query block."""
-        ids, cell, d, near = (batch.column(i).to_numpy() for i in (0, 3, 4, 5))
+        """Each query once for each data block of its group, each needed data row once for each group and query block."""
+        ids, cell, d, near = (batch.column(i).to_numpy() for i in (0, 3, 4, 6))
         asks = batch.column(2).to_numpy(zero_copy_only=False)
         for g in range(n_groups):
             wanted = np.flatnonzero(d >= need[g][cell])
             for qb in range(query_blocks[g]):
-                yield out(batch, wanted, g, np.full(len(wanted), qb, np.int32), spread(ids[wanted], data_blocks), False)
+                yield out(batch, wanted, g, np.full(len(wanted), qb, np.int32), spread(ids[wanted], data_blocks[g]), False)
         mine = np.flatnonzero(asks)
-        g = group_of[near[mine]]
-        qb = spread(ids[mine], np.asarray(query_blocks)[g]) if len(mine) else np.zeros(0, np.int32)
-        for db in range(data_blocks):
-            yield out(batch, mine, g, qb, np.full(len(mine), db, np.int32), True)
+        if len(mine):
+            g = group_of[near[mine]]
+            qb = spread(ids[mine], np.asarray(query_blocks)[g])
+            times = data_blocks[g]
+            at = np.repeat(np.arange(len(mine)), times)
+            db = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            yield out(batch, mine[at], g[at], qb[at], db.astype(np.int32), True)
 
     def out(batch, at, g, qb, db, asks) -> pa.RecordBatch:
         n, take = len(at), pa.array(at)
         return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(g, np.int32), n)), pa.array(qb), pa.array(db), pa.array(np.full(n, asks)), batch.column(0).take(take), batch.column(1).take(take)], names=names)
 
-    dealt = assigned.mapInArrow(per_batch(deal), "g int, qb int, db int, asks boolean, vec_id long, v binary")
+    return assigned.mapInArrow(per_batch(deal), "g int, qb int, db int, asks boolean, vec_id long, v binary"), n_rows, dim
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = K_BEST, scale: int = SCALE, pivots: int = PIVOTS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k candidates of highest integer inner product for each row of vectors where is_query, a condition on vec_id, holds."""
+    dealt, _, dim = replicated(vectors, is_query, k, scale, pivots, id_col, vector_col)
+    if dealt is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
     def solve(block: pa.Table) -> pa.Table:
         asks = block.column("asks").to_numpy()

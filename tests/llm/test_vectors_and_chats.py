@@ -42,7 +42,7 @@ def single(x):
 
 @pytest.mark.parametrize("pivots,block,group", [(64, 8192, 1024), (5, 60, 1), (1, 8192, 1024)])
 def test_top_k(spark, monkeypatch, pivots, block, group):
-    monkeypatch.setattr(knn, "BLOCK_ROWS", block)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 64 * block)
     monkeypatch.setattr(knn, "GROUP_QUERIES", group)
     rng = random.Random(2)
     rows = [(i, [single(rng.gauss(0, 1) + 3 * (i % 4 == 0)) for _ in range(8)]) for i in range(700)]
@@ -52,6 +52,18 @@ def test_top_k(spark, monkeypatch, pivots, block, group):
     assert got == sorted(brute_top(rows))
 
 
+def test_bounds_prune_clustered_rows(spark):
+    """Twelve directions far apart: a query's group gets few rows beyond its own cluster, and nothing is lost."""
+    rng = random.Random(5)
+    centres = [[30.0 * (i == c) for i in range(12)] for c in range(12)]
+    rows = [(i, [single(x + rng.gauss(0, 0.3)) for x in centres[i % 12]]) for i in range(4800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    dealt, n, dim = knn.replicated(df, F.col("vec_id") % 100 == 0)
+    copies, groups = dealt.filter("not asks").count(), dealt.select("g").distinct().count()
+    assert (n, dim) == (4800, 12) and groups > 1 and copies < 0.5 * n * groups
+    assert sorted(tuple(r) for r in knn.top_k(df, F.col("vec_id") % 100 == 0).collect()) == sorted(brute_top(rows))
+
+
 def test_top_k_small_tables(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0, 2.0], "a", "b")]) == []
@@ -77,7 +89,7 @@ def brute_different(rows, k=10):
 
 @pytest.mark.parametrize("pivots,block", [(64, 8192), (5, 60), (1, 8192)])
 def test_repeated_candidates(spark, monkeypatch, pivots, block):
-    monkeypatch.setattr(knn, "BLOCK_ROWS", block)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 32 * block)
     rng = random.Random(3)
     rows = [(i, [single(rng.gauss(0, 1)) for _ in range(4)]) for i in range(400)]
     rows += [(700, [50.0] * 4)] * 40 + [(701, [-50.0, 50.0, 50.0, -50.0])] * 25  # candidates on more than k equal rows
