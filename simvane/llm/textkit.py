@@ -21,8 +21,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 19
-CHUNK = 1 << 20
+SLICE = 1 << 17
+CHUNK = 1 << 18
 
 _U = np.uint64
 BREAK = np.zeros(256, bool)
