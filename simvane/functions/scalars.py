@@ -17,8 +17,8 @@ def _c(x: Column | str) -> Column:
 
 
 def normal_name(x: Column | str) -> Column:
-    """Without a last -<digits> or .<digits>, and with - for other points."""
-    return F.regexp_replace(F.regexp_replace(_c(x), r"[-.][0-9]+$", ""), r"\.", "-")
+    """Without a last -1, then without a last .1, and with - for other points. Other numbers tell rows apart and stay."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(_c(x), r"-1$", ""), r"\.1$", ""), r"\.", "-")
 
 
 def tag(x: Column | str) -> Column:

@@ -22,9 +22,10 @@ def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
     return max(1, -(-rows // block_rows))
 
 
-def pair_blocks(queries: DataFrame, data: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, key: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Runs kernel(queries of a block, data of a block) over all pairs of blocks; both sides need the column key."""
-    nq, nd = block_count(queries.count(), block_rows), block_count(data.count(), block_rows)
+def pair_blocks(queries: DataFrame, data: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, key: str = "id", block_rows: int = BLOCK_ROWS, rows: tuple[int, int] | None = None) -> DataFrame:
+    """Runs kernel(queries of a block, data of a block) over all pairs of blocks; both sides need the column key. rows: how many there are of each, if known."""
+    n_queries, n_data = rows or (queries.count(), data.count())
+    nq, nd = block_count(n_queries, block_rows), block_count(n_data, block_rows)
 
     def dealt(df: DataFrame, own: Column, mine: int, other: int, names: tuple[str, str]) -> DataFrame:
         there = F.explode(F.sequence(F.lit(0), F.lit(other - 1))) if other > 1 else F.lit(0)
@@ -36,13 +37,20 @@ def pair_blocks(queries: DataFrame, data: DataFrame, kernel: Callable[[pa.Table,
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Vectors of one length as rows of a float64 matrix."""
+    """Vectors of one length as rows of a float64 matrix; a null vector, one of another length and a component that is null or not finite are errors."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(array):
         return np.zeros((0, 0))
-    flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if len(flat) % len(array):
+    if array.null_count:
+        raise ValueError("a vector is null")
+    sizes, held = np.diff(array.offsets.to_numpy()), array.flatten()
+    if (sizes != sizes[0]).any():
         raise ValueError("vectors differ in length")
+    if held.null_count:
+        raise ValueError("a vector has a null component")
+    flat = held.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if not np.isfinite(flat).all():
+        raise ValueError("a vector has a component that is not finite")
     return flat.reshape(len(array), -1)
 
 

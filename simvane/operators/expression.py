@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from simvane.operators.sizes import bounded
+
 
 def normalize_log1p(coo: DataFrame, target: float = 1e4, cell: str = "cell", value: str = "value") -> DataFrame:
     """ln(1 + value * target / total of the cell); a cell whose total is 0 fails."""
@@ -58,18 +60,49 @@ def marker_scores(coo: DataFrame, cells: DataFrame, panel: DataFrame, cell: str
     live = weights.filter(F.col("sd") > 1e-12)
     base = weights.groupBy("cls").agg(F.max("g").alias("g"), F.sum(F.when(F.col("sd") > 1e-12, F.col("mean") / F.col("sd")).otherwise(0.0)).alias("shift"))
     own = coo.join(live.select("cls", gene, "sd"), gene).groupBy(F.col(cell).alias("cell"), "cls").agg(F.sum(x / F.col("sd")).alias("up"))
-    grid = cells.select(F.col(cell).alias("cell")).crossJoin(F.broadcast(base))  # every cell has a score for each class of the panel
+    grid = cells.select(F.col(cell).alias("cell")).crossJoin(bounded(base, must=True))  # every cell has a score for each class of the panel
     return grid.join(own, ["cell", "cls"], "left").select("cell", "cls", ((F.coalesce("up", F.lit(0.0)) - F.col("shift")) / F.col("g")).alias("score"))
 
 
-def auroc_ap(scores: DataFrame, positive: str = "positive", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
-    """by, n_pos, n_neg, auroc (average ranks for ties), ap (at distinct thresholds), ap_lift (ap / prevalence), contrast of means. NULL without both kinds."""
-    levels = scores.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count("*").alias("n"))
-    part = Window.partitionBy(*by)
-    up = part.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    down = part.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    levels = levels.withColumn("rank", F.coalesce(F.sum("n").over(up), F.lit(0)) + (F.col("n") + 1) / 2)
-    levels = levels.withColumn("precision", F.sum("p").over(down) / F.sum("n").over(down))
+def neighbor_scores(scores: DataFrame, neighbors: DataFrame) -> DataFrame:
+    """cell, cls, score: the mean score over a cell's neighbours (q, n), the cell itself left out."""
+    return neighbors.select("q", "n").join(scores, F.col("n") == F.col("cell")).groupBy(F.col("q").alias("cell"), "cls").agg(F.avg("score").alias("score"))
+
+
+def cluster_means(scores: DataFrame, clusters: DataFrame, cluster: str = "cluster", cell: str = "cell") -> DataFrame:
+    """cluster, cls, n, score: the mean score of each class over the cells of each cluster."""
+    return scores.join(clusters.select(F.col(cell).alias("cell"), F.col(cluster).cast("string").alias("cluster")), "cell").groupBy("cluster", "cls").agg(F.count("*").alias("n"), F.avg("score").alias("score"))
+
+
+def macro_endpoint(by_class: DataFrame, metrics: Sequence[str], least_cells: int = 1) -> DataFrame:
+    """n_classes, n_excluded and the mean of each metric over the classes with at least `least_cells` positive cells; no such class fails."""
+    eligible = F.col("n_pos") >= least_cells
+    checked = F.when(F.count_if(eligible) == 0, F.raise_error(F.lit("no class has enough cells")).cast("long")).otherwise(F.count_if(eligible))
+    return by_class.agg(checked.alias("n_classes"), F.count_if(~eligible).alias("n_excluded"), *(F.avg(F.when(eligible, F.col(m))).alias(m) for m in metrics))
+
+
+#: Width of the parts that the scores of one ranking are cut into, so that a ranking isn't one task's.
+PART = 1 / 16
+
+
+def auroc_ap(scores: DataFrame, positive: str = "positive", score: str = "score", by: Sequence[str] = (), part: float = PART) -> DataFrame:
+    """by, n_pos, n_neg, auroc (average ranks for ties), ap (at distinct thresholds), ap_lift (ap / prevalence), contrast of means. NULL without both kinds.
+
+    Running counts come in two levels: over parts of the score's range of the width `part`,
+    and inside each part.
+    """
+    by = list(by)
+    levels = scores.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count("*").alias("n")).withColumn("part", F.floor(F.col("s") / part))
+    parts = levels.groupBy(*by, "part").agg(F.sum("n").alias("n_part"), F.sum("p").alias("p_part"))
+    outer = Window.partitionBy(*by).orderBy("part")
+    below, above = outer.rowsBetween(Window.unboundedPreceding, -1), outer.rowsBetween(1, Window.unboundedFollowing)
+    parts = parts.select(*by, "part", F.coalesce(F.sum("n_part").over(below), F.lit(0)).alias("n_below"), F.coalesce(F.sum("n_part").over(above), F.lit(0)).alias("n_above"), F.coalesce(F.sum("p_part").over(above), F.lit(0)).alias("p_above"))
+    levels = levels.join(parts, [*by, "part"])
+    inner = Window.partitionBy(*by, "part")
+    up = inner.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    down = inner.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    levels = levels.withColumn("rank", F.col("n_below") + F.coalesce(F.sum("n").over(up), F.lit(0)) + (F.col("n") + 1) / 2)
+    levels = levels.withColumn("precision", (F.col("p_above") + F.sum("p").over(down)) / (F.col("n_above") + F.sum("n").over(down)))
     n1, n0 = F.sum("p"), F.sum(F.col("n") - F.col("p"))
     both = (n1 > 0) & (n0 > 0)
     ap = F.sum(F.col("p") * F.col("precision")) / n1
@@ -86,12 +119,12 @@ def auroc_ap(scores: DataFrame, positive: str = "positive", score: str = "score"
 def crossfit_signatures(coo: DataFrame, cells: DataFrame, top: int = 10, cell: str = "cell", gene: str = "gene", value: str = "value", label: str = "label", fold: str = "fold") -> DataFrame:
     """fold, label, gene, rank, diff: the genes of highest class mean less the mean of the rest, on the rows outside the fold; means count absent rows as zeros."""
     folds = cells.select(F.col(fold).alias("test_fold")).distinct()
-    train = cells.select(cell, F.col(label).alias("label"), F.col(fold).alias("own")).join(F.broadcast(folds), F.col("own") != F.col("test_fold"))
+    train = cells.select(cell, F.col(label).alias("label"), F.col(fold).alias("own")).join(bounded(folds, must=True), F.col("own") != F.col("test_fold"))
     sizes = train.groupBy("test_fold", "label").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("test_fold")))
     sums = coo.join(train, cell).groupBy("test_fold", "label", gene).agg(F.sum(F.col(value).cast("double")).alias("s"))
     sums = sums.withColumn("all_s", F.sum("s").over(Window.partitionBy("test_fold", gene)))
     diff = F.col("s") / F.col("n") - (F.col("all_s") - F.col("s")) / F.nullif(F.col("total") - F.col("n"), F.lit(0))
-    ranked = sums.join(F.broadcast(sizes), ["test_fold", "label"]).withColumn("diff", F.round(diff, 9))
+    ranked = sums.join(bounded(sizes), ["test_fold", "label"]).withColumn("diff", F.round(diff, 9))
     w = Window.partitionBy("test_fold", "label").orderBy(F.desc("diff"), gene)
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select(F.col("test_fold").alias("fold"), "label", gene, "rank", "diff")
 
@@ -107,7 +140,7 @@ def variance_ranks(coo: DataFrame, cells: DataFrame, top: int, cell: str = "cell
     """batch, gene, variance, rank: the `top` genes of each batch by population variance with implicit zeros, ties by gene."""
     n = cells.groupBy(batch).agg(F.count("*").cast("double").alias("n"))
     x = F.col(value).cast("double")
-    by = coo.join(cells.select(cell, batch), cell).groupBy(batch, gene).agg(F.sum(x).alias("s1"), F.sum(x * x).alias("s2")).join(F.broadcast(n), batch)
+    by = coo.join(cells.select(cell, batch), cell).groupBy(batch, gene).agg(F.sum(x).alias("s1"), F.sum(x * x).alias("s2")).join(bounded(n), batch)
     by = by.withColumn("variance", F.round(F.col("s2") / F.col("n") - F.pow(F.col("s1") / F.col("n"), 2), 9))
     w = Window.partitionBy(batch).orderBy(F.desc("variance"), gene)
     return by.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select(batch, gene, "variance", "rank")
@@ -119,7 +152,7 @@ def welch_t(coo: DataFrame, cells: DataFrame, cell: str = "cell", gene: str = "g
     x = F.col(value).cast("double")
     sums = coo.join(cells.select(cell, cluster), cell).groupBy(cluster, gene).agg(F.sum(x).alias("s1"), F.sum(x * x).alias("s2"))
     whole = Window.partitionBy(gene)
-    sums = sums.withColumn("t1", F.sum("s1").over(whole)).withColumn("t2", F.sum("s2").over(whole)).join(F.broadcast(n), cluster)
+    sums = sums.withColumn("t1", F.sum("s1").over(whole)).withColumn("t2", F.sum("s2").over(whole)).join(bounded(n), cluster)
 
     def moments(s1, s2, n):
         mean = s1 / n

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from simvane.operators import blocks as B
 
@@ -15,43 +16,50 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(size == 0, 1.0, size)
 
 
-def exact_neighbors(df: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "v", metric: str = "euclidean", within: str | None = None, queries: DataFrame | None = None, block_rows: int = B.BLOCK_ROWS) -> DataFrame:
+def exact_neighbors(df: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "v", metric: str = "euclidean", within: str | None = None, queries: DataFrame | None = None, order: str | None = None, block_rows: int = B.BLOCK_ROWS) -> DataFrame:
     """q, n, rank (from 1), d: the k nearest rows of df other than the row itself, ordered by (d, id).
 
     metric: euclidean or cosine (1 - cosine similarity). within: a column; the k nearest
     of each of its values are kept, with the column in the result as `part`. queries: rows
     to search for; all of df if not given. Ties at the cut are resolved by id like all
-    others. Fewer than k others: all of them.
+    others, or by the column `order` where ids stand in a list of their own. k must be above
+    0 and below the number of rows (of df; for queries from elsewhere it may equal it).
+    Vectors that are null, of several lengths or not finite are errors.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
+    n_data = df.count()
+    n_queries = n_data if queries is None else queries.count()
+    if not 0 < k < n_data + (queries is not None):
+        raise ValueError(f"k must be above 0 and below the number of rows, {n_data}")
     if metric not in ("euclidean", "cosine"):
         raise ValueError(f"unknown metric {metric}")
     part = F.col(within) if within else F.lit(0)
-    data = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), part.cast("string").alias("part"))
-    asked = data if queries is None else queries.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.lit("").alias("part"))
-    kind = df.schema[id_col].dataType
+    data = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), part.cast("string").alias("part"), F.col(order or id_col).alias("at"))
+    asked = data if queries is None else queries.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.lit("").alias("part"), F.lit(None).cast(df.schema[order or id_col].dataType).alias("at"))
+    kind, at_kind = df.schema[id_col].dataType, df.schema[order or id_col].dataType.simpleString()
+    at_type = to_arrow_type(df.schema[order or id_col].dataType)
     arrow = pa.string() if kind.simpleString() == "string" else pa.int64()
     if arrow == pa.int64():
         data, asked = (x.withColumn("id", F.col("id").cast("long")) for x in (data, asked))
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"q": [], "n": [], "part": [], "d": []}
+        out: dict[str, list] = {"q": [], "n": [], "part": [], "d": [], "at": []}
         if left.num_rows and right.num_rows:
             a, b = B.matrix(left.column("v")), B.matrix(right.column("v"))
             if metric == "cosine":
                 a, b = _unit(a), _unit(b)
             qid = np.asarray(left.column("id").to_pylist())
             nid, parts = np.asarray(right.column("id").to_pylist()), np.asarray(right.column("part").to_pylist(), dtype=object)
-            order = np.argsort(nid, kind="stable")
-            nid, parts, b = nid[order], parts[order], b[order]
+            place = right.column("at").combine_chunks()
+            sorted_ = np.argsort(np.asarray(place.to_pylist()), kind="stable")
+            nid, parts, b, place = nid[sorted_], parts[sorted_].astype(str), b[sorted_], place.take(pa.array(sorted_))
             d2 = B.square_distances(a, b)
             slack = 1e-9 * (1.0 + (a * a).sum(1).max() + (b * b).sum(1).max())
-            for p in np.unique(parts.astype(str)):
-                mine = np.flatnonzero(parts.astype(str) == p)
-                for i in range(len(qid)):
-                    row = np.where(nid[mine] == qid[i], np.inf, d2[i, mine])
-                    cut = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
+            for p in np.unique(parts):
+                mine = np.flatnonzero(parts == p)
+                rows = np.where(nid[mine][None, :] == qid[:, None], np.inf, d2[:, mine])
+                last = min(k, len(mine)) - 1
+                cuts = np.partition(rows, last, axis=1)[:, last]
+                for i, (row, cut) in enumerate(zip(rows, cuts, strict=True)):
                     near = mine[np.flatnonzero((row <= cut + slack) & np.isfinite(row))]
                     d = B.exact_distance(a[i], b[near])
                     if metric == "cosine":
@@ -59,13 +67,14 @@ def exact_neighbors(df: DataFrame, k: int, *, id_col: str = "id", vector_col: st
                     best = np.lexsort((near, d))[:k]
                     out["q"] += [qid[i]] * len(best)
                     out["n"] += nid[near[best]].tolist()
+                    out["at"] += place.take(pa.array(near[best])).to_pylist()
                     out["part"] += [p] * len(best)
                     out["d"] += d[best].tolist()
-        return pa.table({"q": pa.array(out["q"], arrow), "n": pa.array(out["n"], arrow), "part": pa.array(out["part"], pa.string()), "d": pa.array(out["d"], pa.float64())})
+        return pa.table({"q": pa.array(out["q"], arrow), "n": pa.array(out["n"], arrow), "part": pa.array(out["part"], pa.string()), "d": pa.array(out["d"], pa.float64()), "at": pa.array(out["at"], at_type)})
 
     name = "string" if arrow == pa.string() else "long"
-    best = B.pair_blocks(asked, data, kernel, f"q {name}, n {name}, part string, d double", block_rows=block_rows)
-    rank = F.row_number().over(Window.partitionBy("q", "part").orderBy("d", "n"))
+    best = B.pair_blocks(asked, data, kernel, f"q {name}, n {name}, part string, d double, at {at_kind}", block_rows=block_rows, rows=(n_queries, n_data))
+    rank = F.row_number().over(Window.partitionBy("q", "part").orderBy("d", "at", "n"))
     out = best.withColumn("rank", rank).filter(F.col("rank") <= k)
     return out.select("q", "n", "rank", "d", *(["part"] if within else []))
 

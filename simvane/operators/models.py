@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 
 def scaled(df: DataFrame, id_col: str = "id", vector: str = "v", clip: float = 10.0) -> DataFrame:
-    """id, v: each dimension centred and divided by its sample sd (1 if that is 0), clipped above."""
-    long = df.select(id_col, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
-    by = long.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
-    z = long.join(F.broadcast(by), "i").select(id_col, "i", F.least(F.lit(clip), (F.col("x") - F.col("m")) / F.coalesce(F.nullif("s", F.lit(0.0)), F.lit(1.0))).alias("z"))
-    return z.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "z"))), lambda t: t["z"]).alias(vector))
+    """id, v: each dimension centred and divided by its sample sd (1 if that is 0), clipped above. Two numbers a dimension are summed up and sent back; vectors stay where they are."""
+    x = F.col(vector).cast("array<double>")
+    by = df.select(F.posexplode(x).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+    one = by.agg(F.array_sort(F.collect_list(F.struct("i", "m", F.coalesce(F.nullif("s", F.lit(0.0)), F.lit(1.0)).alias("s")))).alias("by"))
+    return df.select(id_col, x.alias(vector)).crossJoin(F.broadcast(one)).select(id_col, F.zip_with(vector, "by", lambda a, t: F.least(F.lit(clip), (a - t["m"]) / t["s"])).alias(vector))
 
 
 def principal_components(df: DataFrame, n: int, id_col: str = "id", vector: str = "v") -> DataFrame:
@@ -37,29 +37,49 @@ def kmeans(df: DataFrame, k: int, seed: int = 0, id_col: str = "id", vector: str
     return KMeans(k=k, seed=seed, featuresCol="x_", predictionCol="cluster", maxIter=50).fit(x).transform(x).select(id_col, "cluster")
 
 
+def smooth_weights(d: np.ndarray, overall: float, steps: int = 64) -> np.ndarray:
+    """Weights exp(-(d - nearest) / scale) of rows of k distances each, nearest being the smallest above 0; the scales are found by halving until the weights of a row add up to log2(k + 1), as the row itself counts as a neighbour at distance 0. A scale is a thousandth at least of the mean distance of its row, with the row itself, or of all rows (`overall`) where all of its distances are 0."""
+    k = d.shape[1]
+    nearest = np.where(d > 0, d, np.inf).min(axis=1)
+    nearest[~np.isfinite(nearest)] = 0.0
+    gap = np.maximum(0.0, d - nearest[:, None])
+    lo, hi, mid = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
+    goal, open_ = np.log2(k + 1), np.ones(len(d), bool)
+    for _ in range(steps):
+        total = np.exp(-gap / mid[:, None]).sum(axis=1)
+        open_ &= np.abs(total - goal) >= 1e-5
+        if not open_.any():
+            break
+        above, below = open_ & (total > goal), open_ & (total <= goal)
+        hi[above] = mid[above]
+        lo[below] = mid[below]
+        with np.errstate(invalid="ignore"):
+            mid = np.where(above, (lo + hi) / 2, np.where(below, np.where(np.isinf(hi), mid * 2, (lo + hi) / 2), mid))
+    least = 1e-3 * np.where(nearest > 0, d.sum(axis=1) / (k + 1), overall)
+    scale = np.maximum(mid, least)
+    return np.where(gap > 0, np.exp(-gap / np.where(scale > 0, scale, 1.0)[:, None]), 1.0)
+
+
 def fuzzy_affinity(neighbors: DataFrame, steps: int = 64) -> DataFrame:
-    """a, b, w (a < b): for each row weights exp(-(d - nearest) / scale), the scale such that they add up to log2(k), joined over both directions as x + y - x * y."""
+    """a, b, w (a < b): the weights of `smooth_weights` for each row's neighbours, joined over both directions as x + y - x * y."""
     lists = neighbors.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "n", "d"))).alias("near"))
     kind = neighbors.schema["q"].dataType.simpleString()
     lists = lists.select("q", F.transform("near", lambda x: x["n"]).alias("n"), F.transform("near", lambda x: x["d"]).alias("d"))
+    per_row = neighbors.groupBy("q").agg(F.sum("d").alias("s"), F.count("*").alias("k"))
+    overall = float(per_row.agg(F.sum("s") / F.sum(F.col("k") + 1)).first()[0] or 0.0)
 
     def weigh(batches):
         for b in batches:
-            out = []
-            for d in b.column(2).to_pylist():
-                x = np.asarray(d, float)
-                gap = np.maximum(0.0, x - (x[x > 0].min() if (x > 0).any() else 0.0))
-                lo, hi, mid, goal = 0.0, np.inf, 1.0, np.log2(max(2, len(x)))
-                for _ in range(steps):
-                    total = np.exp(-gap / mid).sum()
-                    if abs(total - goal) < 1e-5:
-                        break
-                    if total > goal:
-                        hi, mid = mid, (lo + mid) / 2
-                    else:
-                        lo, mid = mid, mid * 2 if hi == np.inf else (mid + hi) / 2
-                out.append(np.exp(-gap / max(mid, 1e-12)).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float64()))], names=["q", "n", "w"])
+            held = b.column(2)
+            sizes = np.diff(held.offsets.to_numpy())
+            flat = held.flatten().to_numpy(zero_copy_only=False)
+            starts = np.concatenate(([0], np.cumsum(sizes)))
+            out = np.empty(len(flat))
+            for k in np.unique(sizes[sizes > 0]).tolist():
+                at = starts[:-1][sizes == k][:, None] + np.arange(k)
+                out[at] = smooth_weights(flat[at], overall, steps)
+            weights = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(out))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), weights], names=["q", "n", "w"])
 
     made = lists.mapInArrow(weigh, f"q {kind}, n array<{kind}>, w array<double>")
     edges = made.select("q", F.explode(F.arrays_zip("n", "w")).alias("e")).select("q", F.col("e.n").alias("n"), F.col("e.w").alias("w"))

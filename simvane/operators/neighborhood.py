@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from simvane.operators.sizes import bounded
+
 
 def with_labels(neighbors: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """neighbors with the label of the query (q_label) and of the neighbour (n_label)."""
@@ -112,7 +114,7 @@ def rare_recall(neighbors: DataFrame, labels: DataFrame, k: int, share: float, i
     sizes = labels.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n")).withColumn("rows", F.sum("n").over(total))
     rare = sizes.filter(F.col("n") <= share * F.col("rows"))
     near = with_labels(neighbors, labels, id_col, label_col).filter(F.col("rank") <= k)
-    hits = near.join(F.broadcast(rare.select(F.col("label").alias("q_label"))), "q_label", "left_semi").groupBy("q", "q_label").agg(F.count_if(F.col("q_label") == F.col("n_label")).alias("same"))
+    hits = near.join(bounded(rare.select(F.col("label").alias("q_label"))), "q_label", "left_semi").groupBy("q", "q_label").agg(F.count_if(F.col("q_label") == F.col("n_label")).alias("same"))
     by = hits.groupBy(F.col("q_label").alias("label")).agg(F.avg(F.col("same") / k).alias("purity"), F.avg("same").alias("same"))
     others = F.when(F.col("n") > 1, F.col("n") - 1)
     best = F.least(F.lit(k), F.col("n") - 1)

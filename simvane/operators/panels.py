@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,23 +53,72 @@ def sign_counts(deltas: DataFrame, seed: str, grid: str, anchor: float, delta: s
 
 
 def count_match(candidates: DataFrame, seed: str, grid: str, count: str, target: Column | int, anchor: str = "0.5") -> DataFrame:
-    """The candidate of each seed with the least (|count - target|, |grid - anchor| in decimals, grid)."""
+    """The candidate of each seed with the least (|count - target|, |grid - anchor| in decimals, grid). A grid value that a seed has twice, none, or one that isn't above 0 fails."""
+    wrong = (F.countDistinct(grid) != F.count("*")) | ~F.bool_and(F.coalesce(F.col(grid).cast("double") > 0, F.lit(False)))
     exact = F.col(grid).cast("decimal(18,6)")
     key = F.struct(F.abs(F.col(count) - target), F.abs(exact - F.lit(anchor).cast("decimal(18,6)")), exact)
-    return candidates.groupBy(seed).agg(F.min_by(F.struct(grid, count), key).alias("best")).select(seed, f"best.{grid}", f"best.{count}")
+    best = F.when(wrong, F.raise_error(F.lit("a seed has a repeated or invalid grid value"))).otherwise(F.min_by(F.struct(grid, count), key))
+    return candidates.groupBy(seed).agg(best.alias("best")).select(seed, f"best.{grid}", f"best.{count}")
 
 
 def harm_screen(rows: DataFrame, keys: Sequence[str], seed: str, floors: Mapping[str, float], gains: Sequence[str], seeds: Sequence[int], least_positive: int = 4) -> DataFrame:
-    """keys, n_seeds, issues (sorted), verdict: passed only if all seeds are there, no value is below its floor, and each gain is positive in enough seeds and on average."""
+    """keys, n_seeds, issues (sorted), verdict: passed only if all seeds are there, once each, no value is below its floor, and each gain is positive in enough seeds and on average."""
     expected = len(set(seeds))
     found = F.countDistinct(F.when(F.col(seed).isin(list(seeds)), F.col(seed)))
-    checks = [F.when(found != expected, "incomplete"), *(F.when(~F.bool_and(F.coalesce(F.col(c) >= f, F.lit(False))), f"{c} below floor") for c, f in sorted(floors.items()))]
+    once = F.count_if(F.col(seed).isin(list(seeds))) == found
+    checks = [F.when((found != expected) | ~once, "incomplete"), *(F.when(~F.bool_and(F.coalesce(F.col(c) >= f, F.lit(False))), f"{c} below floor") for c, f in sorted(floors.items()))]
     for g in gains:
         checks += [F.when(F.count_if(F.col(g) > 0) < least_positive, f"{g} positive in too few"), F.when(F.coalesce(F.avg(g) <= 0, F.lit(True)), f"{g} mean not positive")]
     out = rows.groupBy(*keys).agg(found.alias("n_seeds"), F.array_sort(F.array_compact(F.array(*checks))).alias("issues"))
     return out.withColumn("verdict", F.when(F.size("issues") == 0, "passed").when(F.array_contains("issues", "incomplete"), "incomplete").otherwise("failed"))
 
 
+#: The outcomes of `mixing_screen`.
+HARM, CLEAN, PENDING, CANDIDATE, NO_GAIN = "tradeoff_or_harm_flagged", "clean_control_no_flagged_harm_not_a_benefit_claim", "mixing_interpretation_pending", "candidate_at_fixed_anchor_only", "no_screened_mixing_gain"
+
+
+def mixing_screen(rows: DataFrame, keys: Sequence[str], seed: str, floors: Mapping[str, float], gain: str, batches: str, interpretable: str, seeds: Sequence[int], rare: str | None = None, rare_floor: float = -0.05, least_gain: float = 0.02, least_positive: int = 4) -> DataFrame:
+    """keys, n_harms, mean_gain, outcome of a panel of one row a seed.
+
+    `invalid` if a seed is missing, repeated or foreign, a value is null, not finite or above 2,
+    the rows differ in their rare groups, or a gain is missing that the panel needs; else
+    HARM if a value, or one of the rare groups' in the map `rare`, is below its floor;
+    CLEAN for a single batch; PENDING where mixing can't be interpreted; CANDIDATE if the
+    gain is at least `least_gain` on average and above 0 for `least_positive` seeds; else NO_GAIN.
+    """
+
+    def sound(x: Column) -> Column:
+        return F.coalesce(~F.isnan(x) & (F.abs(x) <= 2), F.lit(False))
+
+    values = [(F.col(c).cast("double"), floor) for c, floor in sorted(floors.items())]
+    groups = F.map_values(rare) if rare else F.array().cast("array<double>")
+    ok = F.lit(True)
+    for x, _ in values:
+        ok = ok & sound(x)
+    ok = ok & F.coalesce(F.forall(groups, sound), F.lit(False))
+    harms = sum((F.coalesce(x < floor, F.lit(False)).cast("long") for x, floor in values), F.lit(0).cast("long")) + F.coalesce(F.size(F.filter(groups, lambda x: x < rare_floor)), F.lit(0))
+    names = F.array_sort(F.map_keys(rare)) if rare else F.array().cast("array<string>")
+    mixed = F.coalesce((F.col(batches) > 1) & F.col(interpretable), F.lit(False))
+    g = F.col(gain).cast("double")
+    each = rows.select(*keys, F.col(seed).alias("s"), (ok & (~mixed | sound(g))).alias("ok"), harms.alias("harms"), names.alias("names"), F.when(mixed, g).alias("g"), mixed.alias("mixed"), F.col(batches).alias("b"), F.col(interpretable).alias("i"))
+    known = list(seeds)
+    valid = (F.count("*") == len(known)) & (F.countDistinct(F.when(F.col("s").isin(known), F.col("s"))) == len(known)) & F.bool_and("ok") & (F.countDistinct("names") == 1) & (F.min("b") == F.max("b")) & F.bool_and(F.col("b") >= 1) & F.bool_and((F.col("b") > 1) | ~F.col("i")) & (F.min("mixed") == F.max("mixed"))
+    by = each.groupBy(*keys).agg(F.coalesce(valid, F.lit(False)).alias("valid"), F.sum("harms").alias("n_harms"), F.max("b").alias("b"), F.bool_and("i").alias("i"), F.avg("g").alias("mean_gain"), F.count_if(F.col("g") > 0).alias("positive"))
+    gained = (F.col("mean_gain") >= least_gain) & (F.col("positive") >= least_positive)
+    outcome = F.when(~F.col("valid"), "invalid").when(F.col("n_harms") > 0, HARM).when(F.col("b") == 1, CLEAN).when(~F.col("i"), PENDING).when(gained, CANDIDATE).otherwise(NO_GAIN)
+    return by.select(*keys, "n_harms", "mean_gain", outcome.alias("outcome"))
+
+
+def f_tail(f: str | Column, df1: str | Column, df2: str | Column) -> Column:
+    """P(F > f) by `f_survival`, for the few rows of a result table; NULL where one of the three is."""
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna([p, q, r]).any() else f_survival(float(p), float(q), float(r)) for p, q, r in zip(x, a, b, strict=True)], dtype="float64")
+
+    return tail(*(F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in (f, df1, df2)))
+
+
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     """One-way: f, df_between, df_within, eta2, omega2."""
     by = df.filter(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").cast("double").alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count("*")).alias("ss"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from simvane.operators.blocks import matrix
+from simvane.operators.sizes import bounded
+
 
 def matrix_kind(coo: DataFrame, order: list[str], value: str = "value", head: int = 5000) -> DataFrame:
     """integer_share and p99 of the first `head` values in order, integer_like (0.95 or more), log_like (over half not whole, p99 below 50)."""
@@ -21,18 +27,28 @@ def counterfactual_slice(moved: DataFrame, batch: str) -> DataFrame:
 
 
 def effective_rank(df: DataFrame, vector: str = "v") -> DataFrame:
-    """dim, effective_rank: exp of the entropy of the shares of the centred matrix's singular values. Only the d by d second moments reach the driver."""
+    """dim, effective_rank: exp of the entropy of the shares of the centred matrix's singular values. Each task adds up its vectors and their products; d by d sums alone leave it."""
     x = F.col(vector).cast("array<double>")
-    d = df.select(F.max(F.size(x))).first()[0] or 0
-    long = df.select(F.posexplode(x).alias("i", "x"), x.alias("v"))
-    rows = long.select("i", F.posexplode("v").alias("j", "y"), "x").filter("i <= j").groupBy("i", "j").agg(F.covar_pop("x", "y").alias("c")).collect()
-    m = np.zeros((d, d))
-    for r in rows:
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["c"] or 0.0
-    s = np.sqrt(np.maximum(np.linalg.eigvalsh(m), 0.0)) if d else np.zeros(0)
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, products = 0, None, None
+        for b in batches:
+            if b.num_rows:
+                m = matrix(b.column(0))
+                n, total, products = n + len(m), m.sum(0) + (0 if total is None else total), m.T @ m + (0 if products is None else products)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([products.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "total", "products"])
+
+    sums = df.select(x.alias("v")).mapInArrow(gram, "n long, total array<double>, products array<double>")
+    both = sums.select("n", F.posexplode(F.concat("total", "products")).alias("i", "x")).groupBy("i").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
+    flat = np.array([r["x"] for r in sorted(both, key=lambda r: r["i"])])
+    d = int((np.sqrt(1 + 4 * len(flat)) - 1) / 2 + 0.5)
+    n = both[0]["n"] if both else 0
+    mean = flat[:d] / max(1, n)
+    s = np.sqrt(np.maximum(np.linalg.eigvalsh(flat[d:].reshape(d, d) / max(1, n) - np.outer(mean, mean)), 0.0)) if d else np.zeros(0)
     p = s[s > 0] / s.sum() if s.sum() > 0 else np.zeros(0)
     rank = float(np.exp(-(p * np.log(p)).sum())) if len(p) else None
-    return df.sparkSession.createDataFrame([(int(d), rank)], "dim int, effective_rank double")
+    return df.sparkSession.createDataFrame([(d, rank)], "dim int, effective_rank double")
 
 
 def signature_recall(coo: DataFrame, cells: DataFrame, signatures: DataFrame, top: int, cell: str = "cell", gene: str = "gene", value: str = "value", label: str = "label", fold: str = "fold") -> DataFrame:
@@ -41,9 +57,9 @@ def signature_recall(coo: DataFrame, cells: DataFrame, signatures: DataFrame, to
     sums = coo.join(signatures.select("fold", F.col("label").alias("cls"), gene), gene).join(test.select(F.col("cell").alias("c_"), F.col("fold").alias("f_")), (F.col(cell) == F.col("c_")) & (F.col("fold") == F.col("f_")))
     sums = sums.groupBy(F.col("c_").alias("cell"), "fold", "cls").agg((F.sum(F.col(value).cast("double")) / top).alias("score"))
     classes = signatures.select("fold", F.col("label").alias("cls")).distinct()
-    grid = test.join(F.broadcast(classes), "fold").join(sums, ["cell", "fold", "cls"], "left").fillna(0.0, "score")
+    grid = test.join(bounded(classes), "fold").join(sums, ["cell", "fold", "cls"], "left").fillna(0.0, "score")
     by = grid.groupBy("fold", "cls").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s"))
-    z = grid.join(F.broadcast(by), ["fold", "cls"]).withColumn("z", F.round(F.when(F.col("s") > 1e-12, (F.col("score") - F.col("m")) / F.col("s")).otherwise(0.0), 9))
+    z = grid.join(bounded(by), ["fold", "cls"]).withColumn("z", F.round(F.when(F.col("s") > 1e-12, (F.col("score") - F.col("m")) / F.col("s")).otherwise(0.0), 9))
     best = z.groupBy("fold", "cell", "truth").agg(F.min_by("cls", F.struct((-F.col("z")).alias("m"), F.col("cls"))).alias("guess"))
     return best.groupBy("fold", F.col("truth").alias("label")).agg(F.count("*").alias("n"), F.avg((F.col("guess") == F.col("truth")).cast("double")).alias("recall"))
 
@@ -90,7 +106,7 @@ def dispersion_ranks(coo: DataFrame, n_cells: int, bins: int = 20, gene: str = "
     g = g.crossJoin(F.broadcast(span)).withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.round((F.col("mean") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins, 9))))
     stats = g.groupBy("bin").agg(F.avg("dispersion").alias("m"), F.stddev_samp("dispersion").alias("s"))
     z = F.when(F.col("s").isNull(), 1.0).otherwise((F.col("dispersion") - F.col("m")) / F.nullif("s", F.lit(0.0)))
-    out = g.join(F.broadcast(stats), "bin").select(gene, "mean", "dispersion", F.round(z, 9).alias("normalised"))
+    out = g.join(bounded(stats), "bin").select(gene, "mean", "dispersion", F.round(z, 9).alias("normalised"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("normalised"), gene)))
 
 

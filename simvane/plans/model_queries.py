@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simvane.functions import scalars as S
 from simvane.operators import integrity, models, perturb
 from simvane.operators import knn as N
 from simvane.plans.tables import cells, table
@@ -36,11 +35,6 @@ def propagated_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scaled_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return models.scaled(cells(spark, sf), clip=1.5).select("id", F.transform(S.leading("v", 4), lambda x: F.round(x, 6)).alias("head"))
-
-
-def scaled_vectors_all(spark: SparkSession, sf: str) -> DataFrame:
-    """scaled_vectors with all components."""
     return models.scaled(cells(spark, sf), clip=1.5).select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
@@ -72,12 +66,6 @@ def feature_variance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def repaired_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    hurt = cells(spark, sf).withColumn("v", F.transform("v", lambda x: F.when(x > 0.2, F.lit(float("nan"))).otherwise(x)))
-    return hurt.select("id", F.transform(S.leading(integrity.repair_vector("v"), 4), lambda x: F.round(x, 6)).alias("head"))
-
-
-def repaired_vectors_all(spark: SparkSession, sf: str) -> DataFrame:
-    """repaired_vectors with all components."""
     hurt = cells(spark, sf).withColumn("v", F.transform("v", lambda x: F.when(x > 0.2, F.lit(float("nan"))).otherwise(x)))
     return hurt.select("id", F.transform(integrity.repair_vector("v"), lambda x: F.round(x, 6)).alias("v"))
 
@@ -85,9 +73,21 @@ def repaired_vectors_all(spark: SparkSession, sf: str) -> DataFrame:
 _E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, list_position(embedding[1:8], list_max(embedding[1:8])) - 1 AS cluster FROM embeddings)"
 _X = "x AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM e)"
 
+# the scale of each row is halved in 64 steps, as the operator does; a scale below a thousandth of the mean distance is raised to that
+_FUZZY = """nn AS (SELECT * FROM (SELECT a.id AS q, b.id AS n, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id) WHERE rank <= 15),
+rows AS (SELECT q, list(d ORDER BY rank) AS d, coalesce(min(d) FILTER (d > 0), 0) AS near FROM nn GROUP BY 1),
+gaps AS (SELECT q, list_transform(d, lambda x: greatest(0, x - near)) AS gap, near, list_sum(d) / 16 AS mean FROM rows),
+steps AS (SELECT q, gap, near, mean, 0::DOUBLE AS lo, 'infinity'::DOUBLE AS hi, 1::DOUBLE AS mid, false AS done, 0 AS step FROM gaps
+UNION ALL SELECT q, gap, near, mean, CASE WHEN NOT fine AND NOT above THEN mid ELSE lo END, CASE WHEN NOT fine AND above THEN mid ELSE hi END,
+CASE WHEN fine THEN mid WHEN above THEN (lo + mid) / 2 WHEN hi = 'infinity' THEN mid * 2 ELSE (mid + hi) / 2 END, fine, step + 1
+FROM (SELECT *, done OR abs(total - 4) < 1e-5 AS fine, total > 4 AS above FROM (SELECT *, list_sum(list_transform(gap, lambda g: exp(-g / mid))) AS total FROM steps WHERE step < 64))),
+scales AS (SELECT q, near, greatest(mid, 1e-3 * CASE WHEN near > 0 THEN mean ELSE (SELECT avg(mean) FROM gaps) END) AS scale FROM steps WHERE step = 64),
+w AS (SELECT nn.q, n, CASE WHEN d > near THEN exp(-(d - near) / scale) ELSE 1 END AS w FROM nn JOIN scales USING (q)),
+f AS (SELECT least(q, n) AS a, greatest(q, n) AS b, coalesce(max(w) FILTER (q < n), 0) AS x, coalesce(max(w) FILTER (q > n), 0) AS y FROM w GROUP BY 1, 2)"""
+
 SQL = {
-    "scaled_vectors": f"WITH {_E}, {_X}, m AS (SELECT dim, avg(x) AS m, coalesce(nullif(stddev_samp(x), 0), 1) AS s FROM x WHERE dim < 4 GROUP BY 1) SELECT id, list(round(least(1.5, (x - m) / s), 6) ORDER BY m.dim) AS head FROM x JOIN m ON x.dim = m.dim GROUP BY 1",
-    "scaled_vectors_all": f"WITH {_E}, {_X}, m AS (SELECT dim, avg(x) AS m, coalesce(nullif(stddev_samp(x), 0), 1) AS s FROM x GROUP BY 1) SELECT id, list(round(least(1.5, (x - m) / s), 6) ORDER BY m.dim) AS v FROM x JOIN m ON x.dim = m.dim GROUP BY 1",
+    "fuzzy_affinity": f"WITH RECURSIVE {_E}, {_FUZZY} SELECT a, b, round(x + y - x * y, 6) AS w FROM f",
+    "scaled_vectors": f"WITH {_E}, {_X}, m AS (SELECT dim, avg(x) AS m, coalesce(nullif(stddev_samp(x), 0), 1) AS s FROM x GROUP BY 1) SELECT id, list(round(least(1.5, (x - m) / s), 6) ORDER BY m.dim) AS v FROM x JOIN m ON x.dim = m.dim GROUP BY 1",
     "hex_refinement": f"""WITH {_E}, n AS (SELECT * FROM (SELECT a.id AS q, b.cluster AS other, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id) WHERE rank <= 6),
 c AS (SELECT q, other, count(*) AS c FROM n GROUP BY 1, 2), t AS (SELECT q, arg_min(other, -c * 1000 + other) AS top, max(c) AS top_c FROM c GROUP BY 1)
 SELECT id AS node, (CASE WHEN coalesce(o.c, 0) * 2 < 6 AND top_c * 2 > 6 THEN top ELSE cluster END)::INT AS cluster FROM e JOIN t ON t.q = id LEFT JOIN c o ON o.q = id AND o.other = cluster""",
@@ -95,8 +95,7 @@ SELECT id AS node, (CASE WHEN coalesce(o.c, 0) * 2 < 6 AND top_c * 2 > 6 THEN to
     "asof_events": "WITH k AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1, 2) SELECT p.event_id, p.user_id, round(k.value, 6) AS asof_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN k ON p.user_id = k.user_id AND p.ts >= k.ts",
     "fixed_sample": "SELECT c_custkey, c_nationkey FROM customer ORDER BY sha256(c_custkey::VARCHAR || '|5'), c_custkey LIMIT 200",
     "feature_variance": f"WITH {_E}, {_X}, a AS (SELECT dim::INT AS dim, round(var_pop(x), 9) AS variance FROM x GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) SELECT dim, round(variance, 6) AS variance FROM a",
-    "repaired_vectors": f"WITH {_E} SELECT id, list_transform(v[1:4], lambda z: round(CASE WHEN z > 0.2 THEN 0 ELSE z END, 6)) AS head FROM e",
-    "repaired_vectors_all": f"WITH {_E} SELECT id, list_transform(v, lambda z: round(CASE WHEN z > 0.2 THEN 0 ELSE z END, 6)) AS v FROM e",
+    "repaired_vectors": f"WITH {_E} SELECT id, list_transform(v, lambda z: round(CASE WHEN z > 0.2 THEN 0 ELSE z END, 6)) AS v FROM e",
 }
 
-QUERIES = {f.__name__: f for f in (pca32, kmeans_clusters, fuzzy_affinity, propagated_labels, scaled_vectors, scaled_vectors_all, hex_refinement, windowed_event_counts, asof_events, fixed_sample, feature_variance, repaired_vectors, repaired_vectors_all)}
+QUERIES = {f.__name__: f for f in (pca32, kmeans_clusters, fuzzy_affinity, propagated_labels, scaled_vectors, hex_refinement, windowed_event_counts, asof_events, fixed_sample, feature_variance, repaired_vectors)}

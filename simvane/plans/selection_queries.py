@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simvane.functions import scalars as S
 from simvane.operators import expression as X
 from simvane.operators import knn as N
 from simvane.operators import perturb
@@ -13,6 +12,7 @@ from simvane.operators import selection as P
 from simvane.plans.table_queries import _COO
 from simvane.plans.tables import cells, count_cells, counts, table
 from simvane.plans.vector_queries import SQL as VECTOR_SQL
+from simvane.plans.vector_queries import shifted
 
 
 def _r(c: str, name: str | None = None):
@@ -24,14 +24,7 @@ def matrix_kind(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def counterfactual_observed(spark: SparkSession, sf: str) -> DataFrame:
-    moved = P.counterfactual_slice(perturb.batch_shift(cells(spark, sf), "batch", 0.5, 1.0), "batch")
-    return moved.select("id", F.transform(S.leading("v", 4), lambda x: F.round(x, 6)).alias("head"))
-
-
-def counterfactual_observed_all(spark: SparkSession, sf: str) -> DataFrame:
-    """counterfactual_observed with all components."""
-    moved = P.counterfactual_slice(perturb.batch_shift(cells(spark, sf), "batch", 0.5, 1.0), "batch")
-    return moved.select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return P.counterfactual_slice(shifted(spark, sf), "batch").select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
 def effective_rank(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,8 +44,7 @@ def resolution_picks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gaussian_affinity(spark: SparkSession, sf: str) -> DataFrame:
-    flat = cells(spark, sf).withColumn("v", S.leading("v", 2))
-    return P.gaussian_affinity(N.exact_neighbors(flat, 6), 0.05).select("q", "n", _r("w"))
+    return P.gaussian_affinity(N.exact_neighbors(cells(spark, sf), 6), 1.0).select("q", "n", _r("w"))
 
 
 def pixel_scaling(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,11 +52,6 @@ def pixel_scaling(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def json_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return P.flat_json(table(spark, sf, "events").filter("event_id % 10 = 0"), "props", ["event_id"])
-
-
-def json_rows_all(spark: SparkSession, sf: str) -> DataFrame:
-    """json_rows of every event."""
     return P.flat_json(table(spark, sf, "events"), "props", ["event_id"])
 
 
@@ -84,8 +71,7 @@ sig AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, label ORD
 
 SQL = {
     "matrix_kind": f"WITH {_COO}, h AS (SELECT CASE WHEN gene % 9 = 0 THEN value / 7 ELSE value END AS v FROM coo ORDER BY cell, gene LIMIT 5000), a AS (SELECT avg((v = round(v))::INT) AS s, quantile_cont(v, 0.99) AS p FROM h) SELECT round(s, 6) AS integer_share, round(p, 6) AS p99, s >= 0.95 AS integer_like, s < 0.5 AND p < 50 AS log_like FROM a",
-    "counterfactual_observed": f"SELECT id, head FROM ({VECTOR_SQL['batch_simplex_shift']}) WHERE hyp_batch = id % 4",
-    "counterfactual_observed_all": f"SELECT id, v FROM ({VECTOR_SQL['batch_simplex_shift_all']}) WHERE hyp_batch = id % 4",
+    "counterfactual_observed": f"SELECT id, v FROM ({VECTOR_SQL['batch_simplex_shift']}) WHERE hyp_batch = id % 4",
     "signature_recall": f"""WITH {_COO}, {_SIG}, sm AS (SELECT f.cell, sig.fold, sig.label AS cls, sum(value) / 10 AS score FROM coo JOIN f USING (cell) JOIN sig ON sig.gene = coo.gene AND sig.fold = f.own GROUP BY 1, 2, 3),
 g AS (SELECT f.cell, f.label AS truth, k.fold, k.cls, coalesce(score, 0) AS score FROM f JOIN (SELECT DISTINCT fold, label AS cls FROM sig) k ON k.fold = f.own LEFT JOIN sm ON sm.cell = f.cell AND sm.fold = k.fold AND sm.cls = k.cls),
 y AS (SELECT *, round(CASE WHEN stddev_pop(score) OVER w > 1e-12 THEN (score - avg(score) OVER w) / stddev_pop(score) OVER w ELSE 0 END, 9) AS zz FROM g WINDOW w AS (PARTITION BY fold, cls)),
@@ -94,10 +80,9 @@ SELECT fold, truth AS label, count(*) AS n, round(avg((cls = truth)::INT), 6) AS
     "resolution_picks": """WITH g AS (SELECT l_linenumber AS seed, l_discount::DOUBLE AS resolution, count(DISTINCT l_suppkey) AS k, round(avg(l_quantity::DOUBLE), 9) AS score FROM lineitem GROUP BY 1, 2),
 m AS (SELECT *, resolution = min(resolution) OVER (PARTITION BY seed) OR resolution = max(resolution) OVER (PARTITION BY seed) AS boundary, row_number() OVER (PARTITION BY seed ORDER BY abs(k - 90), resolution) AS r1, row_number() OVER (PARTITION BY seed ORDER BY score DESC, resolution) AS r2 FROM g)
 SELECT seed, 'fixed' AS rule, resolution, k, round(score, 6) AS score, boundary FROM m WHERE resolution = 0.05 UNION ALL SELECT seed, 'matched', resolution, k, round(score, 6), boundary FROM m WHERE r1 = 1 UNION ALL SELECT seed, 'best', resolution, k, round(score, 6), boundary FROM m WHERE r2 = 1""",
-    "gaussian_affinity": "WITH e AS (SELECT vec_id AS id, embedding[1:2]::DOUBLE[] AS v FROM embeddings), n AS (SELECT * FROM (SELECT a.id AS q, b.id AS n, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id) WHERE rank <= 6) SELECT q, n, round(exp(-d * d / (2 * 0.05 * 0.05)), 6) AS w FROM n",
+    "gaussian_affinity": "WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT * FROM (SELECT a.id AS q, b.id AS n, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id) WHERE rank <= 6) SELECT q, n, round(exp(-d * d / 2), 6) AS w FROM n",
     "pixel_scaling": "SELECT c_custkey, round_even(c_custkey * 0.25::DOUBLE, 0)::BIGINT AS pixel FROM customer",
-    "json_rows": "SELECT event_id, key AS field, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events WHERE event_id % 10 = 0)",
-    "json_rows_all": "SELECT event_id, key AS field, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)",
+    "json_rows": "SELECT event_id, key AS field, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)",
     "dispersion_ranks": f"""WITH {_COO}, n AS (SELECT count(*)::DOUBLE AS n FROM orders), b AS (SELECT gene, sum(value) / max(n) AS m, greatest(sum(value * value) - max(n) * (sum(value) / max(n)) * (sum(value) / max(n)), 0) / (max(n) - 1) AS v FROM coo, n GROUP BY 1),
 g AS (SELECT gene, ln(1 + m) AS mean, round(ln(nullif(v / m, 0)), 9) AS disp FROM b), l AS (SELECT *, least(19, floor(round((mean - min(mean) OVER ()) / (max(mean) OVER () - min(mean) OVER ()) * 20, 9))) AS bin FROM g WHERE disp IS NOT NULL),
 z AS (SELECT gene, mean, round(CASE WHEN stddev_samp(disp) OVER (PARTITION BY bin) IS NULL THEN 1 ELSE (disp - avg(disp) OVER (PARTITION BY bin)) / nullif(stddev_samp(disp) OVER (PARTITION BY bin), 0) END, 9) AS norm FROM l),
@@ -105,4 +90,4 @@ r AS (SELECT *, row_number() OVER (ORDER BY norm DESC NULLS LAST, gene) AS rank
     "synthetic_balance": 'SELECT g AS "group", b AS batch, 25::BIGINT AS n FROM (SELECT unnest(range(5)) AS g), (SELECT unnest(range(4)) AS b)',
 }
 
-QUERIES = {f.__name__: f for f in (matrix_kind, counterfactual_observed, counterfactual_observed_all, effective_rank, signature_recall, resolution_picks, gaussian_affinity, pixel_scaling, json_rows, json_rows_all, dispersion_ranks, synthetic_balance)}
+QUERIES = {f.__name__: f for f in (matrix_kind, counterfactual_observed, effective_rank, signature_recall, resolution_picks, gaussian_affinity, pixel_scaling, json_rows, dispersion_ranks, synthetic_balance)}

@@ -48,8 +48,8 @@ def resolution_grid_contrast(spark: SparkSession, sf: str) -> DataFrame:
 
 def count_match_select(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    grid = li.groupBy(F.col("l_linenumber").alias("seed"), F.col("l_discount").cast("double").alias("resolution")).agg(F.countDistinct("l_suppkey").alias("k"))
-    return P.count_match(grid, "seed", "resolution", "k", 90, "0.05")
+    grid = li.groupBy(F.col("l_linenumber").alias("seed"), (F.col("l_discount").cast("double") + 0.01).alias("resolution")).agg(F.countDistinct("l_suppkey").alias("k"))
+    return P.count_match(grid, "seed", "resolution", "k", 90, "0.06")
 
 
 def harm_screen(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +59,16 @@ def harm_screen(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def anova_effects(spark: SparkSession, sf: str) -> DataFrame:
-    return P.anova(table(spark, sf, "lineitem").withColumn("q", F.col("l_quantity").cast("double")), "l_returnflag", "q").select(_r("f"), "df_between", "df_within", _r("eta2"), _r("omega2"))
+    return P.anova(table(spark, sf, "lineitem").withColumn("q", F.col("l_quantity").cast("double")), "l_returnflag", "q").select(_r("f"), "df_between", "df_within", _r("eta2"), _r("omega2"), F.round(P.f_tail("f", "df_between", "df_within"), 6).alias("p"))
+
+
+def mixing_screen(spark: SparkSession, sf: str) -> DataFrame:
+    """Deltas of the regions by seed; a region's segments stand for rare groups and its nations for batches."""
+    deltas = P.paired_delta(_by_method(spark, sf, "seed", "donor"), ["seed", "donor"], "method", "A", "R", ["quantity", "discount"])
+    rare = F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.col("delta_discount") * 10, F.col("delta_quantity") / 100))
+    rows = deltas.filter("seed <= 5 and (donor <> 'ASIA' or seed <> 2)").withColumn("rare", rare).withColumn("batches", F.when(F.col("donor") == "EUROPE", 1).otherwise(5)).withColumn("clear", ~F.col("donor").isin("EUROPE", "AFRICA"))
+    out = P.mixing_screen(rows, ["donor"], "seed", {"delta_discount": -0.004}, "delta_quantity", "batches", "clear", [1, 2, 3, 4, 5], "rare", -0.04)
+    return out.select("donor", "n_harms", _r("mean_gain"), "outcome")
 
 
 def sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,6 +146,12 @@ def marker_auroc_ap(spark: SparkSession, sf: str) -> DataFrame:
     return X.auroc_ap(rows, by=["cls"]).select("cls", "n_pos", "n_neg", *(_r(c) for c in ("auroc", "ap", "ap_lift", "contrast")))
 
 
+def cluster_marker_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean score of each brand over the orders of each priority."""
+    scores = X.marker_scores(counts(spark, sf), count_cells(spark, sf), _panel(spark, sf), min_genes=5)
+    return X.cluster_means(scores, count_cells(spark, sf), "batch").select("cluster", "cls", "n", _r("score"))
+
+
 def crossfit_signature(spark: SparkSession, sf: str) -> DataFrame:
     c = count_cells(spark, sf).withColumn("fold", perturb.fold_of("cell"))
     return X.crossfit_signatures(counts(spark, sf), c, 10).select("fold", "label", "gene", "rank", _r("diff"))
@@ -165,8 +180,7 @@ def membership_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 def de_ttest_rank(spark: SparkSession, sf: str) -> DataFrame:
     c = count_cells(spark, sf).withColumnRenamed("batch", "cluster")
-    markers = _panel(spark, sf).filter("gene % 10 = 0")
-    return X.marker_status(X.welch_t(counts(spark, sf), c), markers)
+    return X.marker_status(X.welch_t(counts(spark, sf), c), _panel(spark, sf))
 
 
 # joins and audits
@@ -295,11 +309,15 @@ SQL = {
     "seed_statistics": f"WITH {_SEED}, a AS (SELECT donor, seed, avg(value) AS v FROM rows GROUP BY 1, 2) SELECT donor, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(min(v), 6) AS min, round(max(v), 6) AS max FROM a GROUP BY 1",
     "paired_seed_delta": f"WITH {_SEED}, {_DELTA} SELECT seed, donor, round(delta_value, 6) AS delta_value, round(delta_quantity, 6) AS delta_quantity, complete FROM d",
     "resolution_grid_contrast": f"WITH {_SEED}, {_DELTA}, g AS (SELECT *, dense_rank() OVER (PARTITION BY seed ORDER BY donor) AS grid FROM d), s AS (SELECT *, CASE WHEN delta_discount > 1e-12 THEN 1 WHEN delta_discount < -1e-12 THEN -1 WHEN delta_discount IS NOT NULL THEN 0 END AS sign FROM g), t AS (SELECT *, max(CASE WHEN grid = 3 THEN sign END) OVER (PARTITION BY seed) AS a FROM s) SELECT count(*) FILTER (sign > 0) AS positive, count(*) FILTER (sign = 0) AS zero, count(*) FILTER (sign < 0) AS negative, count(*) FILTER (sign * a < 0) AS flips FROM t",
-    "count_match_select": "WITH g AS (SELECT l_linenumber AS seed, l_discount::DOUBLE AS resolution, count(DISTINCT l_suppkey) AS k FROM lineitem GROUP BY 1, 2) SELECT seed, resolution, k FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY abs(k - 90), abs(resolution::DECIMAL(18, 6) - 0.05::DECIMAL(18, 6)), resolution) AS r FROM g) WHERE r = 1",
+    "count_match_select": "WITH g AS (SELECT l_linenumber AS seed, l_discount::DOUBLE + 0.01::DOUBLE AS resolution, count(DISTINCT l_suppkey) AS k FROM lineitem GROUP BY 1, 2) SELECT seed, resolution, k FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY abs(k - 90), abs(resolution::DECIMAL(18, 6) - 0.06::DECIMAL(18, 6)), resolution) AS r FROM g) WHERE r = 1",
     "harm_screen": f"""WITH {_SEED}, {_DELTA}, s AS (SELECT donor, count(DISTINCT seed) FILTER (seed BETWEEN 1 AND 5) AS n_seeds, bool_and(coalesce(delta_discount >= -0.002, false)) AS ok, count(*) FILTER (delta_quantity > 0) AS pos, avg(delta_quantity) AS m FROM d GROUP BY 1)
 SELECT donor, n_seeds, concat_ws('; ', CASE WHEN NOT ok THEN 'delta_discount below floor' END, CASE WHEN coalesce(m <= 0, true) THEN 'delta_quantity mean not positive' END, CASE WHEN pos < 4 THEN 'delta_quantity positive in too few' END, CASE WHEN n_seeds <> 5 THEN 'incomplete' END) AS issues,
 CASE WHEN n_seeds <> 5 THEN 'incomplete' WHEN ok AND pos >= 4 AND m > 0 THEN 'passed' ELSE 'failed' END AS verdict FROM s""",
-    "anova_effects": "WITH g AS (SELECT l_returnflag, count(*)::DOUBLE AS n, avg(l_quantity::DOUBLE) AS m, var_pop(l_quantity::DOUBLE) * count(*) AS ss FROM lineitem GROUP BY 1), s AS (SELECT count(*) AS k, sum(n) AS t, sum(ss) AS w, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS b FROM g) SELECT round((b / (k - 1)) / (w / (t - k)), 6) AS f, k - 1 AS df_between, (t - k)::BIGINT AS df_within, round(b / (b + w), 6) AS eta2, round((b - (k - 1) * w / (t - k)) / (b + w + w / (t - k)), 6) AS omega2 FROM s",
+    "mixing_screen": f"""WITH {_SEED}, {_DELTA}, x AS (SELECT *, CASE donor WHEN 'EUROPE' THEN 1 ELSE 5 END AS b, donor NOT IN ('EUROPE', 'AFRICA') AS clear FROM d WHERE seed <= 5 AND (donor <> 'ASIA' OR seed <> 2)),
+s AS (SELECT donor, count(*) AS n, count(DISTINCT seed) AS seeds, bool_and(coalesce(abs(delta_discount) <= 2 AND abs(delta_discount * 10) <= 2 AND abs(delta_quantity / 100) <= 2 AND (NOT (b > 1 AND clear) OR abs(delta_quantity) <= 2), false)) AS ok,
+sum((delta_discount < -0.004)::INT + (delta_discount * 10 < -0.04)::INT + (delta_quantity / 100 < -0.04)::INT)::BIGINT AS n_harms, avg(delta_quantity) FILTER (b > 1 AND clear) AS g, count(*) FILTER (b > 1 AND clear AND delta_quantity > 0) AS pos, max(b) AS b, bool_and(clear) AS clear FROM x GROUP BY 1)
+SELECT donor, n_harms, round(g, 6) AS mean_gain, CASE WHEN n <> 5 OR seeds <> 5 OR NOT ok THEN 'invalid' WHEN n_harms > 0 THEN '{P.HARM}' WHEN b = 1 THEN '{P.CLEAN}' WHEN NOT clear THEN '{P.PENDING}' WHEN g >= 0.02 AND pos >= 4 THEN '{P.CANDIDATE}' ELSE '{P.NO_GAIN}' END AS outcome FROM s""",
+    "anova_effects": "WITH g AS (SELECT l_returnflag, count(*)::DOUBLE AS n, avg(l_quantity::DOUBLE) AS m, var_pop(l_quantity::DOUBLE) * count(*) AS ss FROM lineitem GROUP BY 1), s AS (SELECT count(*) AS k, sum(n) AS t, sum(ss) AS w, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS b FROM g) SELECT round((b / (k - 1)) / (w / (t - k)), 6) AS f, k - 1 AS df_between, (t - k)::BIGINT AS df_within, round(b / (b + w), 6) AS eta2, round((b - (k - 1) * w / (t - k)) / (b + w + w / (t - k)), 6) AS omega2, round(pow(1 + 2 * (b / 2) / (w / (t - 3)) / (t - 3), -(t - 3) / 2), 6) AS p FROM s",
     "sweep_summary": "WITH l AS (SELECT l_returnflag, l_linenumber, 'l_quantity' AS metric, l_quantity::DOUBLE AS value FROM lineitem UNION ALL SELECT l_returnflag, l_linenumber, 'l_discount', l_discount::DOUBLE FROM lineitem) SELECT l_returnflag, l_linenumber, metric, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM l GROUP BY 1, 2, 3",
     "label_free_k": "WITH c AS (SELECT n, count(DISTINCT list_position(embedding[1:n], list_max(embedding[1:n]))) AS k FROM embeddings, (SELECT unnest([4, 8, 16]) AS n) GROUP BY 1) SELECT quantile_cont(k, 0.5)::DOUBLE AS k FROM c",
     "convergence_gate": "WITH d AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 9) AS v FROM events GROUP BY 1, 2), c AS (SELECT *, abs(v - lag(v) OVER w) / nullif(abs(lag(v) OVER w), 0) AS c1, abs(v - lag(v, 2) OVER w) / nullif(abs(lag(v, 2) OVER w), 0) AS c2 FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day)) SELECT event_type, day, round(v, 6) AS v, round(c1, 6) AS change_1, round(c2, 6) AS change_2, coalesce(c1 <= 0.02 OR c2 <= 0.02, false) AS stops FROM c",
@@ -312,6 +330,7 @@ CASE WHEN n_seeds <> 5 THEN 'incomplete' WHEN ok AND pos >= 4 AND m > 0 THEN 'pa
     "matrix_scan_stats": f"""WITH {_COO}, r AS (SELECT cells.cell, batch, count(*) FILTER (value <> 0) AS nnz, count(*) FILTER (value < 0) AS neg, coalesce(sum(value), 0) AS total, coalesce(min(value), 0) AS lo, coalesce(max(value), 0) AS hi FROM cells LEFT JOIN coo USING (cell) GROUP BY 1, 2)
 SELECT coalesce(batch, '__ALL__') AS batch, count(*) AS n_cells, sum(nnz)::BIGINT AS nnz, sum(neg)::BIGINT AS negatives, count(*) FILTER (nnz = 0) AS zero_rows, round(1 - sum(nnz) / (count(*) * (SELECT count(*) FROM part)), 6) AS zero_share, min(least(lo, 0)) AS least, max(greatest(hi, 0)) AS largest, min(total) AS row_min, round(quantile_cont(total, 0.5), 6) AS row_median, max(total) AS row_max FROM r GROUP BY GROUPING SETS ((), (batch))""",
     "marker_score_zmean": f"WITH {_COO}, {_SCORE} SELECT cls, count(*) AS n, round(avg(score), 6) AS mean, round(max(score), 6) AS top, round(stddev_pop(score), 6) AS sd FROM sc GROUP BY 1",
+    "cluster_marker_means": f"WITH {_COO}, {_SCORE} SELECT batch AS cluster, cls, count(*) AS n, round(avg(score), 6) AS score FROM sc JOIN (SELECT cell, batch FROM cells) USING (cell) GROUP BY 1, 2",
     "marker_auroc_ap": f"""WITH {_COO}, {_SCORE}, r AS (SELECT cls, round(score, 9) AS s, label = 'O' AS pos FROM sc), l AS (SELECT cls, s, count(*) FILTER (pos) AS p, count(*) AS n FROM r GROUP BY 1, 2),
 t AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY cls ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS rank, sum(p) OVER d / sum(n) OVER d AS prec FROM l WINDOW d AS (PARTITION BY cls ORDER BY s DESC ROWS UNBOUNDED PRECEDING))
 SELECT cls, sum(p)::BIGINT AS n_pos, sum(n - p)::BIGINT AS n_neg, round((sum(p * rank) - sum(p) * (sum(p) + 1) / 2) / (sum(p) * sum(n - p)), 6) AS auroc, round(sum(p * prec) / sum(p), 6) AS ap, round(sum(p * prec) / sum(p) * sum(n) / sum(p), 6) AS ap_lift, round(sum(p * s) / sum(p) - sum((n - p) * s) / sum(n - p), 6) AS contrast FROM t GROUP BY 1""",
@@ -328,12 +347,12 @@ s AS (SELECT batch AS cluster, gene, sum(value) AS s1, sum(value * value) AS s2,
 m AS (SELECT cluster, gene, n, all_n - n AS r, s1 / n AS m1, (t1 - s1) / (all_n - n) AS m0, greatest(s2 - s1 * s1 / n, 0) / (n - 1) AS v1, greatest(t2 - s2 - (t1 - s1) * (t1 - s1) / (all_n - n), 0) / (all_n - n - 1) AS v0 FROM s JOIN n USING (cluster)),
 t AS (SELECT cluster, gene, round((m1 - m0) / sqrt(nullif(v1 / n + v0 / r, 0)), 9) AS t FROM m), p AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY t DESC, gene) AS rank FROM t WHERE t IS NOT NULL),
 b AS (SELECT gene, cluster, rank FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY t DESC, cluster) AS k FROM p) WHERE k = 1)
-SELECT p_brand AS cls, p_partkey AS gene, cluster AS best_cluster, rank::INT AS rank, CASE WHEN rank IS NULL THEN 'Not detected' WHEN rank <= 10 THEN 'Preserved' WHEN rank <= 50 THEN 'High' WHEN rank <= 200 THEN 'Moderate' ELSE 'Lost' END AS status FROM part LEFT JOIN b ON gene = p_partkey WHERE p_partkey % 10 = 0""",
+SELECT p_brand AS cls, p_partkey AS gene, cluster AS best_cluster, rank::INT AS rank, CASE WHEN rank IS NULL THEN 'Not detected' WHEN rank <= 10 THEN 'Preserved' WHEN rank <= 50 THEN 'High' WHEN rank <= 200 THEN 'Moderate' ELSE 'Lost' END AS status FROM part LEFT JOIN b ON gene = p_partkey""",
     "id_alignment_report": "WITH e AS (SELECT doc_id AS k, count(*) AS e FROM documents GROUP BY 1), o AS (SELECT doc_id AS k, count(*) AS o FROM labels GROUP BY 1), b AS (SELECT coalesce(e.k, o.k) AS k, e, o FROM e FULL JOIN o ON e.k = o.k) SELECT sum(e)::BIGINT AS n_expected, sum(o)::BIGINT AS n_observed, count(*) FILTER (k IS NOT NULL AND o IS NULL) AS n_missing, count(*) FILTER (k IS NOT NULL AND e IS NULL) AS n_extra, count(*) FILTER (k IS NOT NULL AND e > 1) AS duplicate_expected, count(*) FILTER (k IS NOT NULL AND o > 1) AS duplicate_observed, coalesce(sum(coalesce(e, 0) + coalesce(o, 0)) FILTER (k IS NULL), 0)::BIGINT AS null_keys FROM b",
     "fallback_join_normalized": r"""WITH l AS (SELECT 'Cell.s' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '-1' ELSE '' END AS name FROM supplier),
 r AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'Cell.s' ELSE 'Cell-s' END || s_suppkey AS name, s_nationkey AS nation FROM supplier WHERE s_suppkey % 5 <> 0),
-f AS (SELECT form, max(nation) AS v2 FROM (SELECT replace(regexp_replace(name, '[-.][0-9]+$', ''), '.', '-') AS form, nation FROM r) GROUP BY 1 HAVING count(*) = 1)
-SELECT l.name, CASE WHEN r.name IS NOT NULL THEN r.nation ELSE v2 END AS nation, CASE WHEN r.name IS NOT NULL THEN 'exact' WHEN f.form IS NOT NULL THEN 'normalized' ELSE 'none' END AS stage FROM l LEFT JOIN r ON r.name = l.name LEFT JOIN f ON f.form = replace(regexp_replace(l.name, '[-.][0-9]+$', ''), '.', '-')""",
+f AS (SELECT form, max(nation) AS v2 FROM (SELECT replace(regexp_replace(regexp_replace(name, '-1$', ''), '\.1$', ''), '.', '-') AS form, nation FROM r) GROUP BY 1 HAVING count(*) = 1)
+SELECT l.name, CASE WHEN r.name IS NOT NULL THEN r.nation ELSE v2 END AS nation, CASE WHEN r.name IS NOT NULL THEN 'exact' WHEN f.form IS NOT NULL THEN 'normalized' ELSE 'none' END AS stage FROM l LEFT JOIN r ON r.name = l.name LEFT JOIN f ON f.form = replace(regexp_replace(regexp_replace(l.name, '-1$', ''), '\.1$', ''), '.', '-')""",
     "composite_label_recovery": "SELECT conv_id, turn, lower(role) AS role, length(text)::INT AS n, (length(text) % 7)::INT AS code FROM conversations",
     "left_split_retained_excluded": "SELECT source, count(*) AS n, sum(quality)::BIGINT AS good, 'retained' AS part FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1 UNION ALL SELECT source, count(*), NULL, 'excluded' FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL GROUP BY 1",
     "manifest_check": "SELECT s_suppkey, s_nationkey, s_name FROM supplier WHERE s_suppkey % 4 = 0",
@@ -344,7 +363,7 @@ SELECT l.name, CASE WHEN r.name IS NOT NULL THEN r.nation ELSE v2 END AS nation,
     "duplicate_texts": "SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "condition_summary": "WITH c AS (SELECT o_orderpriority, o_custkey, count(*) AS c FROM orders GROUP BY 1, 2), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY c DESC, o_custkey) AS k FROM c) WHERE k = 1) SELECT o.o_orderpriority, count(*) AS n_rows, count(DISTINCT o_orderstatus) AS n_batches, count(DISTINCT o.o_custkey) AS n_labels, any_value(t.o_custkey) AS top_label, any_value(t.c) AS top_rows FROM orders o JOIN t ON t.o_orderpriority = o.o_orderpriority GROUP BY 1",
     "canonical_subset": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY doc_id",
-    "header_sanitize_scalars": r"""SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS tag, regexp_replace(lower(url), '[^a-z0-9]', '', 'g') AS key, replace(regexp_replace(url, '[-.][0-9]+$', ''), '.', '-') AS normal,
+    "header_sanitize_scalars": r"""SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS tag, regexp_replace(lower(url), '[^a-z0-9]', '', 'g') AS key, replace(regexp_replace(regexp_replace(url, '-1$', ''), '\.1$', ''), '.', '-') AS normal,
 len(list_filter(list_transform(regexp_split_to_array(url, '[;,|]'), lambda p: trim(p)), lambda p: lower(p) NOT IN ('', 'na', 'nan', 'none', 'null')))::INT AS parts, 'frac' || replace(printf('%.2f', page_id / 100), '.', '_') AS frac, page_id % 2 = 1 AS truth, page_id % 3 = 0 AS missing, (page_id + 1900)::INT AS year, 'CL:' || lpad(page_id::VARCHAR, 7, '0') AS term, printf('%+.2f', (page_id - 100) / 10) AS signed FROM pages""",
     "list_md5": "WITH b AS (SELECT p_brand, string_agg(p_name, chr(10) ORDER BY p_name) AS s FROM part GROUP BY 1) SELECT p_brand, md5(s) AS plain, md5(s || chr(10)) AS ended FROM b",
     "label_remap": "SELECT CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'MACHINERY') THEN 'machines' WHEN c_mktsegment = 'BUILDING' THEN 'buildings' ELSE c_mktsegment END AS segment, count(*) AS n FROM customer GROUP BY 1",
@@ -353,4 +372,4 @@ len(list_filter(list_transform(regexp_split_to_array(url, '[;,|]'), lambda p: tr
     "report_cells": f"WITH {_SEED}, a AS (SELECT donor, seed, round(avg(discount), 9) AS x FROM rows GROUP BY 1, 2) SELECT donor, printf('%.4f', avg(x)) || ' ± ' || printf('%.4f', coalesce(stddev_samp(x), 0)) AS cell FROM a GROUP BY 1",
 }
 
-QUERIES = {f.__name__: f for f in (macro_seed_aligned, seed_statistics, paired_seed_delta, resolution_grid_contrast, count_match_select, harm_screen, anova_effects, sweep_summary, label_free_k, convergence_gate, leaderboard, crossover_classes, batch_coverage, expected_grid_completeness, coo_normalize_log1p, gene_min_cells_filter, matrix_scan_stats, marker_score_zmean, marker_auroc_ap, crossfit_signature, hvg_ranks, hvg_rank_fusion, hvg_union_intersection, membership_pivot, de_ttest_rank, id_alignment_report, fallback_join_normalized, composite_label_recovery, left_split_retained_excluded, manifest_check, panel_explode_match, functional_dependency_audit, conflict_dedup, manifest_difference, duplicate_texts, condition_summary, canonical_subset, header_sanitize_scalars, list_md5, label_remap, natural_order, json_fields, report_cells)}
+QUERIES = {f.__name__: f for f in (macro_seed_aligned, seed_statistics, paired_seed_delta, resolution_grid_contrast, count_match_select, harm_screen, mixing_screen, anova_effects, sweep_summary, label_free_k, convergence_gate, leaderboard, crossover_classes, batch_coverage, expected_grid_completeness, coo_normalize_log1p, gene_min_cells_filter, matrix_scan_stats, marker_score_zmean, cluster_marker_means, marker_auroc_ap, crossfit_signature, hvg_ranks, hvg_rank_fusion, hvg_union_intersection, membership_pivot, de_ttest_rank, id_alignment_report, fallback_join_normalized, composite_label_recovery, left_split_retained_excluded, manifest_check, panel_explode_match, functional_dependency_audit, conflict_dedup, manifest_difference, duplicate_texts, condition_summary, canonical_subset, header_sanitize_scalars, list_md5, label_remap, natural_order, json_fields, report_cells)}

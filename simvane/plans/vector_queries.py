@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from simvane.functions import scalars as S
 from simvane.operators import contingency, integrity, perturb
+from simvane.operators import expression as X
 from simvane.operators import knn as N
 from simvane.operators import neighborhood as M
 from simvane.plans.tables import cells, halves
@@ -162,31 +163,37 @@ def heldout_split(spark: SparkSession, sf: str) -> DataFrame:
     return held.groupBy("batch", "heldout", "fold").agg(F.count("*").alias("n"))
 
 
-def batch_simplex_shift(spark: SparkSession, sf: str) -> DataFrame:
-    moved = perturb.batch_shift(cells(spark, sf), "batch", 0.5, 1.0)
-    return moved.select("id", "hyp_batch", F.transform(S.leading("v", 4), lambda x: F.round(x, 6)).alias("head"))
-
-
-def local_warp(spark: SparkSession, sf: str) -> DataFrame:
+def shifted(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells under every batch, moved by the median distance to the 15th neighbour."""
     c = cells(spark, sf)
-    moved = perturb.local_warp(c, "label", 0, "batch", F.col("v")[0], [0.0, 1.0] + [0.0] * 62, 2.0, 0.1)
-    return moved.select("id", F.transform(S.leading("v", 3), lambda x: F.round(x, 6)).alias("head"))
+    radius = M.median_radius(N.exact_neighbors(c, 15), 15).first()[0]
+    return perturb.batch_shift(c, "batch", radius, 1.0)
 
 
-def batch_simplex_shift_all(spark: SparkSession, sf: str) -> DataFrame:
-    """batch_simplex_shift with all components."""
-    return perturb.batch_shift(cells(spark, sf), "batch", 0.5, 1.0).select("id", "hyp_batch", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+def batch_simplex_shift(spark: SparkSession, sf: str) -> DataFrame:
+    return shifted(spark, sf).select("id", "hyp_batch", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
-def local_warp_all(spark: SparkSession, sf: str) -> DataFrame:
-    """local_warp with all components."""
+def local_warp(spark: SparkSession, sf: str) -> DataFrame:
     moved = perturb.local_warp(cells(spark, sf), "label", 0, "batch", F.col("v")[0], [0.0, 1.0] + [0.0] * 62, 2.0, 0.1)
     return moved.select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
 def counterfactual_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    return perturb.sensitivity(shifted(spark, sf), cells(spark, sf)).select(_r("numerator"), _r("denominator"), _r("ratio"))
+
+
+def neighbor_marker_endpoint(spark: SparkSession, sf: str) -> DataFrame:
+    """Each label's marker score, averaged over 30 neighbours, as a ranking of the cells of that label, and the mean over labels of 45 cells or more. Components stand for genes: label c has the eight from 8 c on."""
     c = cells(spark, sf)
-    return perturb.sensitivity(perturb.batch_shift(c, "batch", 0.5, 1.0), c).select(_r("numerator"), _r("denominator"), _r("ratio"))
+    coo = c.select(F.col("id").alias("cell"), F.posexplode("v").alias("gene", "value")).withColumn("value", F.greatest("value", F.lit(0.0)))
+    panel = spark.range(64).select(F.floor(F.col("id") / 8).cast("string").alias("cls"), F.col("id").cast("int").alias("gene"))
+    scores = X.neighbor_scores(X.marker_scores(coo, c.select(F.col("id").alias("cell")), panel), N.exact_neighbors(c, 30))
+    rows = scores.join(c.select(F.col("id").alias("cell"), F.col("label").cast("string").alias("label")), "cell").select("cls", F.round("score", 9).alias("score"), (F.col("label") == F.col("cls")).alias("positive"))
+    metrics = ["auroc", "ap", "ap_lift", "contrast"]
+    by_class = X.auroc_ap(rows, by=["cls"]).filter("n_pos > 0")
+    macro = X.macro_endpoint(by_class, metrics, 45)
+    return by_class.select("cls", "n_pos", *(_r(m) for m in metrics)).unionByName(macro.select(F.lit("__MACRO__").alias("cls"), F.col("n_classes").alias("n_pos"), *(_r(m) for m in metrics)))
 
 
 def train_only_batch_centering(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,9 +205,11 @@ def student_t_target(spark: SparkSession, sf: str) -> DataFrame:
     return perturb.soft_assignment(c, perturb.centroids(c, "label")).select("id", "cluster", _r("q"), _r("p"))
 
 
-_SIMPLEX = [[round(x, 17) for x in row] for row in perturb.simplex_directions(4, 64)]
-_CORNER = " ".join(f"WHEN {b} THEN {row[:4]!r}::DOUBLE[]" for b, row in enumerate(_SIMPLEX))
-_WHOLE = " ".join(f"WHEN {b} THEN {row!r}::DOUBLE[]" for b, row in enumerate(_SIMPLEX))
+_SHIFT = f"""{_knn_sql(15, "nr")}, r AS (SELECT quantile_cont(d, 0.5) AS r FROM nr WHERE rank = 15),
+flat AS (SELECT b, f, CASE WHEN b <= f THEN 1.0 WHEN b = f + 1 THEN -(f + 1.0) ELSE 0 END / sqrt((f + 1.0) * (f + 2.0)) * sqrt(4 / 3.0) AS x FROM (SELECT unnest([0, 1, 2, 3]) AS b), (SELECT unnest([0, 1, 2]) AS f)),
+turned AS (SELECT b, p, sum(x * sqrt(CASE WHEN f = 0 THEN 1 ELSE 2 END / 64.0) * cos(pi() * (p + 0.5) * f / 64)) AS x FROM flat, (SELECT unnest(range(64)) AS p) GROUP BY 1, 2),
+mean AS (SELECT p, sum(x * n) / sum(n) AS m FROM turned JOIN (SELECT batch, count(*) AS n FROM e GROUP BY 1) ON batch = b GROUP BY 1),
+moves AS (SELECT b::BIGINT AS b, list(r * (x - m) ORDER BY p) AS move FROM turned JOIN mean USING (p), r GROUP BY 1)"""
 _HASH = "sha256(id::VARCHAR || '|{seed}')"
 _SIL = """o AS (SELECT a.id AS q, a.label AS own, b.label AS other, avg(list_distance(a.v, b.v)) AS m FROM e a JOIN e b ON a.id <> b.id GROUP BY 1, 2, 3),
 ab AS (SELECT q, own, max(m) FILTER (own = other) AS a, min(m) FILTER (own <> other) AS b FROM o GROUP BY 1, 2),
@@ -264,22 +273,23 @@ m AS (SELECT label, least(n, base + CASE WHEN place <= todo THEN 1 ELSE 0 END) A
 r AS (SELECT id, batch, label, row_number() OVER (PARTITION BY label ORDER BY {_HASH.format(seed=11)}, id) AS nth FROM e)
 SELECT id, batch, r.label FROM r JOIN m ON r.label = m.label WHERE nth <= take""",
     "heldout_split": f"WITH {E} SELECT batch, {_HELD} AS heldout, (('0x' || substr(sha256(id::VARCHAR), 1, 2))::INT & 1)::INT AS fold, count(*) AS n FROM e GROUP BY ALL",
-    "batch_simplex_shift": f"""WITH {E}, c AS (SELECT b::BIGINT AS b, CASE b {_CORNER} END AS dir FROM (SELECT unnest([0, 1, 2, 3]) AS b)),
-w AS (SELECT list(m ORDER BY i) AS mean FROM (SELECT i, sum(x * n) / sum(n) AS m FROM (SELECT unnest(dir) AS x, generate_subscripts(dir, 1) AS i, n FROM c JOIN (SELECT batch, count(*) AS n FROM e GROUP BY 1) ON batch = b) GROUP BY 1))
-SELECT id, b AS hyp_batch, list_transform([1, 2, 3, 4], lambda j: round(v[j] + 0.5 * (dir[j] - mean[j]), 6)) AS head FROM e, c, w""",
-    "local_warp": f"WITH {E}, t AS (SELECT *, CASE WHEN label = 0 THEN tanh(v[1] / 0.1) END AS c FROM e), d AS (SELECT *, c - avg(c) OVER (PARTITION BY batch) AS cc FROM t) SELECT id, [round(v[1], 6), round(v[2] + 2.0 * 0.1 * coalesce(cc, 0), 6), round(v[3], 6)] AS head FROM d",
-    "batch_simplex_shift_all": f"""WITH {E}, c AS (SELECT b::BIGINT AS b, CASE b {_WHOLE} END AS dir FROM (SELECT unnest([0, 1, 2, 3]) AS b)),
-w AS (SELECT list(m ORDER BY i) AS mean FROM (SELECT i, sum(x * n) / sum(n) AS m FROM (SELECT unnest(dir) AS x, generate_subscripts(dir, 1) AS i, n FROM c JOIN (SELECT batch, count(*) AS n FROM e GROUP BY 1) ON batch = b) GROUP BY 1))
-SELECT id, b AS hyp_batch, list_transform(range(1, len(v) + 1), lambda j: round(v[j] + 0.5 * (dir[j] - mean[j]), 6)) AS v FROM e, c, w""",
-    "local_warp_all": f"WITH {E}, t AS (SELECT *, CASE WHEN label = 0 THEN tanh(v[1] / 0.1) END AS c FROM e), d AS (SELECT *, c - avg(c) OVER (PARTITION BY batch) AS cc FROM t) SELECT id, list_concat([round(v[1], 6), round(v[2] + 2.0 * 0.1 * coalesce(cc, 0), 6)], list_transform(v[3:], lambda z: round(z, 6))) AS v FROM d",
-    "counterfactual_sensitivity": f"""WITH {E}, {_LONG}, c AS (SELECT b, CASE b {_CORNER} END AS dir FROM (SELECT unnest([0, 1, 2, 3]) AS b)),
-d AS (SELECT b, unnest(dir) AS x, generate_subscripts(dir, 1) AS i FROM c), g AS (SELECT sum(s) / 4 AS numerator FROM (SELECT i, var_pop(0.5 * x) * 4 AS s FROM d GROUP BY 1)),
+    "local_warp": f"WITH {E}, t AS (SELECT *, CASE WHEN label = 0 THEN tanh(v[1] / 0.1) END AS c FROM e), d AS (SELECT *, c - avg(c) OVER (PARTITION BY batch) AS cc FROM t) SELECT id, list_concat([round(v[1], 6), round(v[2] + 2.0 * 0.1 * coalesce(cc, 0), 6)], list_transform(v[3:], lambda z: round(z, 6))) AS v FROM d",
+    "batch_simplex_shift": f"WITH {E}, {_SHIFT} SELECT id, b AS hyp_batch, list_transform(range(1, 65), lambda j: round(v[j] + move[j], 6)) AS v FROM e, moves",
+    "counterfactual_sensitivity": f"""WITH {E}, {_LONG}, {_SHIFT}, g AS (SELECT sum(s) AS numerator FROM (SELECT p, var_pop(r * x) AS s FROM turned, r GROUP BY 1)),
 k AS (SELECT sum(s) AS denominator FROM (SELECT var_pop(x) AS s FROM x GROUP BY dim))
 SELECT round(numerator, 6) AS numerator, round(denominator, 6) AS denominator, round(numerator / denominator, 6) AS ratio FROM g, k""",
+    "neighbor_marker_endpoint": f"""WITH {E}, {_knn_sql(30)}, {_LONG}, c AS (SELECT id, dim, greatest(x, 0) AS x FROM x), z AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM c GROUP BY 1),
+raw AS (SELECT id, (c.dim // 8)::VARCHAR AS cls, sum(CASE WHEN s > 1e-12 THEN (x - m) / s ELSE 0 END) / 8 AS score FROM c JOIN z USING (dim) GROUP BY 1, 2),
+sc AS (SELECT q AS id, cls, avg(score) AS score FROM nn JOIN raw ON raw.id = n GROUP BY 1, 2),
+r AS (SELECT cls, round(score, 9) AS s, label::VARCHAR = cls AS pos FROM sc JOIN e USING (id)), l AS (SELECT cls, s, count(*) FILTER (pos) AS p, count(*) AS n FROM r GROUP BY 1, 2),
+t AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY cls ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS rank, sum(p) OVER d / sum(n) OVER d AS prec FROM l WINDOW d AS (PARTITION BY cls ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT cls, sum(p)::BIGINT AS n_pos, (sum(p * rank) - sum(p) * (sum(p) + 1) / 2) / (sum(p) * sum(n - p)) AS auroc, sum(p * prec) / sum(p) AS ap, sum(p * prec) / sum(p) * sum(n) / sum(p) AS ap_lift, sum(p * s) / sum(p) - sum((n - p) * s) / sum(n - p) AS contrast FROM t GROUP BY 1 HAVING sum(p) > 0)
+SELECT cls, n_pos, round(auroc, 6) AS auroc, round(ap, 6) AS ap, round(ap_lift, 6) AS ap_lift, round(contrast, 6) AS contrast FROM b
+UNION ALL SELECT '__MACRO__', count(*), round(avg(auroc), 6), round(avg(ap), 6), round(avg(ap_lift), 6), round(avg(contrast), 6) FROM b WHERE n_pos >= 45""",
     "train_only_batch_centering": f"WITH {E}, {_LONG}, y AS (SELECT *, {_HELD} AS held FROM x), b AS (SELECT batch, dim, avg(x) AS bm FROM y WHERE NOT held GROUP BY 1, 2), g AS (SELECT dim, avg(x) AS gm FROM y WHERE NOT held GROUP BY 1) SELECT id, y.dim::INT AS dim, round(x + gm - bm, 6) AS value FROM y JOIN b ON y.batch = b.batch AND y.dim = b.dim JOIN g ON y.dim = g.dim",
     "student_t_target": f"""WITH {E}, {_LONG}, {_CENT}, w AS (SELECT id, cen.cluster, 1 / (1 + list_distance(v, c) * list_distance(v, c)) AS w FROM e, cen),
 q AS (SELECT id, cluster, w / sum(w) OVER (PARTITION BY id) AS q FROM w), f AS (SELECT *, q * q / sum(q) OVER (PARTITION BY cluster) AS z FROM q)
 SELECT id, cluster, round(q, 6) AS q, round(z / sum(z) OVER (PARTITION BY id), 6) AS p FROM f""",
 }
 
-QUERIES = {f.__name__: f for f in (exact_knn, knn_cosine, knn_batch_balanced, mutual_nn_pairs, neighbor_purity_by_label, neighbor_jaccard_paired, purity_delta_rollup, d_batch, ilisi, median_kth_radius, target_fraction_at_k, rare_recall_at_k, silhouette_samples, silhouette_summary, isolated_label_asw, class_compactness, centroid_geometry, centroid_separation, confusion, ari_ri_nmi, cluster_purity_entropy, embedding_diagnostics, leading_projection, label_encoding, imbalance_downsample, nonoverlap_drop, stratified_subsample, heldout_split, batch_simplex_shift, batch_simplex_shift_all, local_warp, local_warp_all, counterfactual_sensitivity, train_only_batch_centering, student_t_target)}
+QUERIES = {f.__name__: f for f in (exact_knn, knn_cosine, knn_batch_balanced, mutual_nn_pairs, neighbor_purity_by_label, neighbor_jaccard_paired, purity_delta_rollup, d_batch, ilisi, median_kth_radius, target_fraction_at_k, rare_recall_at_k, silhouette_samples, silhouette_summary, isolated_label_asw, class_compactness, centroid_geometry, centroid_separation, confusion, ari_ri_nmi, cluster_purity_entropy, embedding_diagnostics, leading_projection, label_encoding, imbalance_downsample, nonoverlap_drop, stratified_subsample, heldout_split, batch_simplex_shift, local_warp, counterfactual_sensitivity, neighbor_marker_endpoint, train_only_batch_centering, student_t_target)}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,21 +80,32 @@ def scale_factors(spark: SparkSession, path: str, fields: Sequence[str] = SCALE_
     return _fail_on(out, bad, "scale factors must be these fields, finite and above 0").drop("keys")
 
 
-def marker_tsv(spark: SparkSession, path: str, species: str = "Hs") -> DataFrame:
-    """symbol and cell_type of a marker table (plain or gzip TSV): rows of the species flagged canonical, with a plausible symbol. Headers are matched without case and punctuation."""
+#: Names of the human species, and the token that stands for it in a list.
+HUMAN_NAMES, HUMAN_TOKEN = ("human", "homo sapiens", "homo sapiens sapiens"), "hs"
+#: Flags of a canonical marker.
+CANONICAL = ("1", "true", "yes", "y", "canonical marker")
+
+
+def marker_tsv(spark: SparkSession, path: str, names: Sequence[str] = HUMAN_NAMES, token: str = HUMAN_TOKEN) -> DataFrame:
+    """symbol and cell_type of a marker table (plain or gzip TSV): rows of the species, by a name or a token among its letters in any case, flagged canonical, with a plausible symbol as written. Headers are matched without case and punctuation; a table without such a row fails."""
     raw = spark.read.option("header", True).option("sep", "\t").csv(path)
-    names = {"".join(ch for ch in c.lower() if ch.isalnum()): c for c in raw.columns}
+    headers = {"".join(ch for ch in c.lower() if ch.isalnum()): c for c in raw.columns}
 
     def column(*aliases: str):
         for a in aliases:
-            if a in names:
-                return F.col(f"`{names[a]}`")
+            if a in headers:
+                return F.col(f"`{headers[a]}`")
         raise IntegrityError(f"no column {aliases[0]}")
 
-    token = F.array_contains(F.split(column("species"), r"\s+"), species)
-    symbol = F.upper(F.trim(column("officialgenesymbol", "genesymbol", "symbol")))
-    rows = raw.filter(token & S.truthy(column("canonicalmarker", "canonical")) & symbol.rlike(r"^[A-Z0-9][A-Z0-9.\-]*$"))
-    return rows.select(symbol.alias("symbol"), F.trim(column("celltype")).alias("cell_type")).distinct()
+    species = F.lower(F.trim(column("species")))
+    human = species.isin(*names) | F.array_contains(F.split(species, "[^a-z]+"), token)
+    flagged = F.lower(F.trim(column("canonicalmarker", "canonical"))).isin(*CANONICAL)
+    symbol, cell_type = F.trim(column("officialgenesymbol", "genesymbol", "symbol")), F.trim(column("celltype"))
+    rows = raw.filter(human & flagged & symbol.rlike(r"^[A-Za-z0-9][A-Za-z0-9_.\-]*$") & (cell_type != ""))
+    out = rows.select(symbol.alias("symbol"), cell_type.alias("cell_type")).distinct()
+    if out.limit(1).count() == 0:
+        raise IntegrityError("no canonical marker of the species")
+    return out
 
 
 def ontology_obo(spark: SparkSession, path: str) -> DataFrame:
@@ -125,16 +135,15 @@ def resolve_names(labels: DataFrame, ontology: DataFrame, label: str) -> DataFra
 
 
 def png_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, width, height of PNG files; another format fails. Only the header of each file is looked at."""
+    """path, width, height of PNG files; another format fails."""
+    files = spark.read.format("binaryFile").load(path)
+    head = F.hex(F.substring("content", 1, 24))
 
-    @F.udf("struct<width:int,height:int>")
-    def size(head: bytes):
-        if not bytes(head).startswith(b"\x89PNG\r\n\x1a\n") or bytes(head[12:16]) != b"IHDR":
-            raise IntegrityError("not a PNG image")
-        return struct.unpack(">II", bytes(head[16:24]))
+    def number(at: int):
+        return F.conv(F.substring(head, at, 8), 16, 10).cast("int")
 
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", size(F.substring("content", 1, 24)).alias("s")).select("path", "s.width", "s.height")
+    sound = (F.substring(head, 1, 16) == "89504E470D0A1A0A") & (F.substring(head, 25, 8) == F.hex(F.lit("IHDR")))
+    return _fail_on(files.select("path", number(33).alias("width"), number(41).alias("height"), sound.alias("sound")), ~F.col("sound"), "not a PNG image").drop("sound")
 
 
 def union_parts(parts: Sequence[DataFrame], row: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -100,13 +101,32 @@ def latex(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*order).select(F.concat(F.concat_ws(" & ", *safe), F.lit(r" \\")).alias("line"))
 
 
-def checkpoint_folder(spark: SparkSession) -> None:
-    """Makes checkpoint() work: the folder of spark.checkpoint.dir, or a temporary one where that is unset (local mode)."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only a local master may leave it unset; it gets a temporary one."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not root:
-            import tempfile
-
-            root = tempfile.mkdtemp(prefix="simvane-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        held = context._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            root = held.get()
+    if not root:
+        if context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="simvane-")
         context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below shared_root, removed when the driver ends."""
+    fs, path = _fs(spark, f"{shared_root(spark)}/simvane-{uuid.uuid4().hex}")
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toString()
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Makes checkpoint() work."""
+    root = shared_root(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(root)

@@ -2,15 +2,18 @@
 
 import gzip
 import json
+import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from simvane.functions import scalars as S
 from simvane.operators import contingency, expression, integrity, models, neighborhood, panels, perturb
 from simvane.operators import knn as N
+from simvane.operators.sizes import bounded
 from simvane.sources import readers, sinks
 from simvane.streaming import ingest
 
@@ -39,10 +42,23 @@ def test_knn_ties_and_text_ids(spark):
 
 
 def test_knn_refuses(spark):
-    df = spark.createDataFrame([(0, [0.0])], "id long, v array<double>")
-    with pytest.raises(ValueError):
-        N.exact_neighbors(df, 0)
-    assert N.exact_neighbors(df, 3).count() == 0
+    df = spark.createDataFrame([(0, [0.0]), (1, [1.0])], "id long, v array<double>")
+    for k in (0, 2, 3):
+        with pytest.raises(ValueError):
+            N.exact_neighbors(df, k)
+    assert N.exact_neighbors(df, 2, queries=df.withColumn("id", F.col("id") + 10)).count() == 4
+    good = [(i, [float(i)] * 64) for i in range(63)]
+    for bad in (None, [1.0] * 63, [1.0] * 63 + [None], [1.0] * 63 + [float("nan")], [float("inf")] * 64):
+        with pytest.raises(Exception, match="vector"):
+            N.exact_neighbors(spark.createDataFrame([*good, (99, bad)], "id long, v array<double>"), 3).collect()
+    with pytest.raises(Exception, match="length"):
+        N.label_sums(spark.createDataFrame([(0, [1.0] * 3, "a"), (1, [1.0] * 5, "a")], "id long, v array<double>, label string")).collect()
+
+
+def test_knn_ties_in_the_order_of_a_list(spark):
+    rows = [(i, [0.0, 0.0], n) for n, i in enumerate("zambqc")]
+    df = spark.createDataFrame(rows, "id string, v array<double>, pos int").repartition(3)
+    assert near(df, 2, order="pos")["z"] == ["a", "m"] and near(df, 2)["z"] == ["a", "b"]
 
 
 def test_neighborhood_metrics(spark):
@@ -86,15 +102,35 @@ def test_signs_and_count_match(spark):
     assert panels.count_match(c.unionAll(spark.createDataFrame([(0, 0.5, 4)], c.schema)), "seed", "r", "k", 4).first().r == 0.5
 
 
+def test_repeated_or_invalid_grid_values_are_refused(spark):
+    for rows in ([(0, 0.5, 4), (0, 0.5, 3)], [(0, 0.0, 4)], [(0, None, 4)]):
+        with pytest.raises(Exception, match="grid value"):
+            panels.count_match(spark.createDataFrame(rows, "seed int, r double, k int"), "seed", "r", "k", 4).collect()
+
+
+def test_mixing_screen(spark):
+    def panel(name, harm=0.0, gain=0.1, batches=3, clear=True, seeds=range(5), rare=0.0):
+        return [(name, s, harm if s == 3 else 0.0, gain, batches, clear, {"a": rare, "b": 0.0}) for s in seeds]
+
+    rows = [*panel("good"), *panel("harmed", harm=-0.02), *panel("rare", rare=-0.06), *panel("edge", harm=-0.01, rare=-0.05), *panel("single", gain=None, batches=1, clear=False), *panel("unclear", gain=None, clear=False)]
+    rows += [*panel("flat", gain=0.01), *panel("short", seeds=range(4)), *panel("twice", seeds=[0, 1, 2, 3, 3]), *panel("foreign", seeds=[0, 1, 2, 3, 9]), *panel("none", gain=None), *panel("nan", harm=float("nan")), *panel("large", gain=2.5), *panel("odd", batches=1)]
+    rows += [("mixed", s, 0.0, 0.1, 3, True, {"a": 0.0} if s else {"b": 0.0}) for s in range(5)]
+    df = spark.createDataFrame(rows, "k string, seed int, d double, g double, batches int, clear boolean, rare map<string,double>")
+    got = {r.k: r.outcome for r in panels.mixing_screen(df, ["k"], "seed", {"d": -0.01}, "g", "batches", "clear", range(5), "rare").collect()}
+    assert got == {"good": panels.CANDIDATE, "harmed": panels.HARM, "rare": panels.HARM, "edge": panels.CANDIDATE, "single": panels.CLEAN, "unclear": panels.PENDING, "flat": panels.NO_GAIN} | dict.fromkeys(("short", "twice", "foreign", "none", "nan", "large", "odd", "mixed"), "invalid")
+
+
 def test_screen_is_inclusive_and_wants_all_seeds(spark):
-    rows = [("x", s, -0.01, 0.1) for s in range(5)] + [("y", s, -0.01, 0.1) for s in range(4)] + [("z", s, -0.5 if s == 2 else 1.0, 0.1) for s in range(5)]
+    rows = [("x", s, -0.01, 0.1) for s in range(5)] + [("y", s, -0.01, 0.1) for s in range(4)] + [("z", s, -0.5 if s == 2 else 1.0, 0.1) for s in range(5)] + [("w", s % 5, -0.01, 0.1) for s in range(6)]
     got = {r.k: r.verdict for r in panels.harm_screen(spark.createDataFrame(rows, "k string, seed int, d double, g double"), ["k"], "seed", {"d": -0.01}, ["g"], range(5)).collect()}
-    assert got == {"x": "passed", "y": "incomplete", "z": "failed"}
+    assert got == {"x": "passed", "y": "incomplete", "z": "failed", "w": "incomplete"}
 
 
 def test_f_survival():
     assert panels.f_survival(4.0, 2, 10) == pytest.approx(0.0530, abs=5e-4)
     assert panels.f_survival(0.0, 2, 10) == 1.0
+    for f in (0.3, 1.7, 9.0):
+        assert panels.f_survival(f, 2, 14) == pytest.approx((1 + 2 * f / 14) ** -7)
 
 
 def test_marker_endpoint(spark):
@@ -108,6 +144,18 @@ def test_marker_endpoint(spark):
     tied = spark.createDataFrame([(True, 1.0), (False, 1.0), (True, 1.0), (False, 1.0)], "positive boolean, score double")
     assert expression.auroc_ap(tied).first().auroc == 0.5
     assert expression.auroc_ap(tied.filter("positive")).first().auroc is None
+    rng = random.Random(4)
+    rows = [(rng.random() < 0.3, round(rng.gauss(0, 2), 1)) for _ in range(400)]
+    pos, neg = ([x for p, x in rows if p is kind] for kind in (True, False))
+    auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
+    ap = sum(sum(a == x for a in pos) * sum(a >= x for a in pos) / sum(b >= x for _, b in rows) for x in set(pos)) / len(pos)
+    for part in (1 / 16, 0.5, 100.0):
+        got = expression.auroc_ap(spark.createDataFrame(rows, "positive boolean, score double"), part=part).first()
+        assert (got.auroc, got.ap) == (pytest.approx(auc), pytest.approx(ap))
+    macro = expression.macro_endpoint(spark.createDataFrame([("a", 5, 0.5), ("b", 1, 0.9)], "cls string, n_pos long, auroc double"), ["auroc"], 2).first()
+    assert tuple(macro) == (1, 1, 0.5)
+    means = expression.cluster_means(scores, cells.withColumn("cluster", F.col("cell") % 2)).collect()
+    assert sum(r.n for r in means) == 24 and {r.cluster for r in means} == {"0", "1"}
 
 
 def test_zero_cell_fails(spark):
@@ -120,6 +168,7 @@ def test_simplex():
     assert all(sum(x * x for x in c) == pytest.approx(1) for c in corners)
     gaps = {round(sum((a - b) ** 2 for a, b in zip(p, q)), 9) for i, p in enumerate(corners) for q in corners[:i]}
     assert len(gaps) == 1 and all(sum(c[j] for c in corners) == pytest.approx(0) for j in range(8))
+    assert all(any(abs(c[j]) > 0.01 for c in corners) for j in range(8))  # no axis is left out
     with pytest.raises(ValueError):
         perturb.simplex_directions(5, 3)
 
@@ -133,6 +182,22 @@ def test_shift_keeps_the_weighted_centroid(spark):
     assert perturb.sensitivity(perturb.batch_shift(flat, "batch", 1.0, 1.0), flat).first().ratio is None
 
 
+def test_stratified_sample_is_cut_in_hash_order(spark):
+    df = spark.createDataFrame([(i, "big" if i % 10 else "small") for i in range(9000)], "id long, s string")
+    kept = perturb.stratified_sample(df, "s", 500, 3)
+    hashes = {r.id: r.h for r in df.select("id", perturb.hash_order("id", 3).alias("h")).collect()}
+    for name, n in (("big", 450), ("small", 50)):
+        want = sorted((r.id for r in df.filter(F.col("s") == name).collect()), key=lambda i: (hashes[i], i))[:n]
+        assert sorted(r.id for r in kept.filter(F.col("s") == name).collect()) == sorted(want)
+
+
+def test_broadcasts_are_checked(spark):
+    assert "broadcast" in bounded(spark.range(5), 5)._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in bounded(spark.range(6), 5)._jdf.queryExecution().analyzed().toString().lower()
+    with pytest.raises(ValueError):
+        bounded(spark.range(6), 5, must=True)
+
+
 def test_folds(spark):
     ids = spark.range(30).select(F.concat(F.lit("cell-"), "id").alias("id"))
     folds = [r[0] for r in ids.select(perturb.fold_of("id")).collect()]
@@ -161,6 +226,8 @@ def test_scalars(spark):
     rows = df.select(S.normal_name("s"), S.split_list("s"), S.is_missing("s"), S.ontology_id(F.lit("CL_0000123")), S.year_in(F.lit("x 1999 y"))).collect()
     assert rows[0][0] == "a-b" and rows[1][1] == ["x", "y", "z"] and rows[2][2] and rows[0][3:] == ("CL:0000123", 1999)
     assert df.select(S.canonical_hash("s")).distinct().count() == 3
+    names = spark.createDataFrame([(x,) for x in ("AAAC-2", "AAAC-3", "AAAC.1-1", "A.1", "A.12")], "s string")
+    assert [r[0] for r in names.select(S.normal_name("s")).collect()] == ["AAAC-2", "AAAC-3", "AAAC", "A", "A-12"]
     with pytest.raises(ValueError):
         S.pick("s", [1, 1])
 
@@ -170,6 +237,10 @@ def test_affinity_and_propagation(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>")
     edges = models.fuzzy_affinity(N.exact_neighbors(df, 4))
     assert edges.filter("w < 0 or w > 1.000001 or a >= b").count() == 0
+    rng = np.random.default_rng(3)
+    d = np.sort(rng.random((50, 15)) + 0.2, axis=1)
+    assert np.abs(models.smooth_weights(d, float(d.mean())).sum(axis=1) - np.log2(16)).max() < 1e-4
+    assert (models.smooth_weights(np.zeros((2, 3)), 0.0) == 1.0).all()
     spread = models.label_propagation(edges, 3).collect()
     sides = {0: set(), 1: set()}
     for r in spread:
@@ -217,12 +288,19 @@ def test_readers(spark, tmp_path):
             readers.scale_factors(spark, str(tmp_path / "s2.json")).collect()
     (tmp_path / "i.png").write_bytes(png(30, 20))
     assert tuple(readers.png_images(spark, str(tmp_path / "i.png")).first())[1:] == (30, 20)
+    (tmp_path / "j.png").write_bytes(b"GIF89a" + bytes(40))
+    with pytest.raises(Exception, match="PNG"):
+        readers.png_images(spark, str(tmp_path / "j.png")).collect()
 
 
 def test_marker_and_ontology_readers(spark, tmp_path):
+    head = "species\tofficial gene symbol\tcell type\tcanonical marker\n"
     with gzip.open(tmp_path / "m.tsv.gz", "wt") as f:
-        f.write("species\tofficial gene symbol\tcell type\tcanonical marker\nHs\tINS\tBeta\t1\nMm Hs\tIAPP\tBeta\t1\nMm\tXX\tBeta\t1\nHs\tMAFA\tBeta\tyes\nHs\tNO\tBeta\t0\n")
-    assert sorted(r.symbol for r in readers.marker_tsv(spark, str(tmp_path / "m.tsv.gz")).collect()) == ["IAPP", "INS", "MAFA"]
+        f.write(head + "Hs\tINS\tBeta\t1\nMm Hs\tIAPP\tBeta\tcanonical marker\nMm\tXX\tBeta\t1\nHuman\tMaf_a\tBeta\tYes\nHs\tNO\tBeta\t0\nhomo sapiens\tx1.2\tBeta\ttrue\nHs\ta b\tBeta\t1\nHs\tINS\t\t1\n")
+    assert sorted(r.symbol for r in readers.marker_tsv(spark, str(tmp_path / "m.tsv.gz")).collect()) == ["IAPP", "INS", "Maf_a", "x1.2"]
+    (tmp_path / "none.tsv").write_text(head + "Mm\tXX\tBeta\t1\n")
+    with pytest.raises(integrity.IntegrityError):
+        readers.marker_tsv(spark, str(tmp_path / "none.tsv"))
     (tmp_path / "c.obo").write_text('format-version: 1.2\n\n[Term]\nid: CL:0000001\nname: one\nsynonym: "uno" EXACT []\n\n[Term]\nid: CL:0000002\nname: two\nis_obsolete: true\n\n[Term]\nid: GO:1\nname: no\n\n[Typedef]\nid: CL:0000009\nname: part\n')
     terms = readers.ontology_obo(spark, str(tmp_path / "c.obo"))
     assert sorted((r.id, r.name, list(r.synonyms), r.obsolete) for r in terms.collect()) == [("CL:0000001", "one", ["uno"], False), ("CL:0000002", "two", [], True)]
