@@ -11,8 +11,9 @@ arcs between points; one aggregation counts rows per cell, and all placement is
 decided on that small table, whose size depends on `shards`, `vnodes` and `cells`
 and not on the data: rows keep the order of their places, so a row's shard and
 slot follow from its rank in its cell. The only window over documents is
-partitioned by cell, so no task gets more than its share of the ring; the tables
-broadcast back to the documents have at most cells + shards * vnodes rows.
+partitioned by cell and holds one entry for all rows equal in id, checksum and size,
+so no task gets more than its share of the ring; an id with many texts alone shares
+one place. The tables broadcast back to the documents have at most cells + shards * vnodes rows.
 
 Defined results: a null text has 16 bytes and the checksum of the empty text; a
 null id takes its place by its text; rows with equal ids share a place and are
@@ -113,7 +114,10 @@ def place(docs: DataFrame, shards: int = 40, vnodes: int = 64, cells: int = 8192
     spans = stays.unionByName(goes).withColumn("slot_from", F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(order), F.lit(0)))
     spans = spans.groupBy("cell", "part").agg(F.collect_list(F.struct("lo", "hi", "shard", "slot_from")).alias("spans"))
 
-    ranked = seen.withColumn("rank", F.row_number().over(Window.partitionBy("cell", "part").orderBy("place", "doc_id", "text_crc32", "size")) - 1)
+    # equal rows are one entry until they have their ranks
+    entries = seen.groupBy("cell", "part", "place", "doc_id", "text_crc32", "size").agg(F.count("*").alias("n"))
+    inside = Window.partitionBy("cell", "part").orderBy("place", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = entries.withColumn("begin", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("rank", F.col("begin") + F.col("nth"))
     mine = ranked.join(F.broadcast(spans), ["cell", "part"]).withColumn("span", F.filter("spans", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"]))[0])
     return mine.select(
         "doc_id",

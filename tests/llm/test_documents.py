@@ -213,6 +213,45 @@ def test_ring(docs, options):
     assert max(counts) - min(counts) <= 1
 
 
+def walked(points, rows, n_shards):
+    """(shard, slot) of each row, in the order of rows: a plain walk around the ring, one row at a time."""
+    points = sorted(points)
+    order = sorted(range(len(rows)), key=lambda k: tuple((x is not None, x) for x in rows[k]))
+    at = {k: next((j for j, (p, _) in enumerate(points) if p >= rows[k][0]), len(points)) for k in order}
+    home = {k: points[j % len(points)][1] for k, j in at.items()}
+    room = {s: len(rows) // n_shards + (s < len(rows) % n_shards) for s in range(n_shards)}
+    shard, waiting = {}, {}
+    for k in order:
+        if room[home[k]]:
+            room[home[k]] -= 1
+            shard[k] = home[k]
+        else:
+            waiting.setdefault(at[k], []).append(k)
+    queue = []
+    for lap in range(2):
+        for j in range(len(points) + 1):  # the stretch behind the last point ends at the first one
+            queue += waiting.get(j, []) if lap == 0 else []
+            s = points[j % len(points)][1]
+            while queue and room[s]:
+                room[s] -= 1
+                shard[queue.pop(0)] = s
+    slots, out = collections.Counter(), {}
+    for k in order:
+        out[k] = (shard[k], slots[shard[k]])
+        slots[shard[k]] += 1
+    return [out[k] for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("options", [{}, {"shards": 3, "vnodes": 2, "cells": 16}, {"shards": 7, "vnodes": 3, "cells": 64}])
+def test_ring_against_a_walk(spark, docs, options):
+    n, vnodes, cells = options.get("shards", 40), options.get("vnodes", 64), options.get("cells", 8192)
+    points = [(r.point, r.shard) for r in shards.ring(docs, n, vnodes, cells).collect()]
+    place = F.when(F.col("doc_id").isNull(), shards._place(F.lit("text"), F.col("text"))).otherwise(shards._place(F.lit("id"), F.col("doc_id")))
+    rows = [(r.place, r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 16) for r in docs.select("doc_id", "text", place.alias("place")).collect()]
+    want = [(r[1], r[3], r[2], *x) for r, x in zip(rows, walked(points, rows, n))]
+    same([(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in shards.place(docs, **options).collect()], want)
+
+
 def test_ring_moves_few_rows(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     at = [{r.doc_id: r.shard for r in shards.place(docs, shards=n, slack=s).collect()} for n, s in ((40, 0.0), (41, 0.0), (40, 0.25), (41, 0.25))]
