@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -99,6 +101,54 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
+def modularity_grid(edges: DataFrame, resolutions: Sequence[float], seeds: Sequence[int], rounds: int = 6, levels: int = 2) -> DataFrame:
+    """resolution, seed, node, cluster: a partition of high modularity for each setting of a grid, all settings at once.
+
+    Rounds of local moving: a node goes to the neighbouring cluster of the largest gain
+    w(node, cluster) - resolution * strength(node) * strength(cluster) / total strength, its own
+    one and then the smallest of equals; in each round a half of the nodes moves, drawn by a hash
+    of node, seed and round. Then clusters become nodes and move in the same way, `levels` times
+    in all. edges: a, b, w, each pair once. The grid is a small table; call sinks.checkpoint_folder first.
+    """
+    spark, key = edges.sparkSession, ["resolution", "seed"]
+    settings = spark.createDataFrame([(float(r), int(s)) for r in resolutions for s in seeds], "resolution double, seed long")
+    both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    graph = both.crossJoin(F.broadcast(settings)).checkpoint()
+    total = float(both.agg(F.sum("w")).first()[0] or 0.0)
+    labels = graph.groupBy(*key, F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("cluster", F.col("node")).checkpoint()
+    members = labels.select(*key, "node", "cluster")
+    for level in range(levels):
+        for r in range(rounds):
+            mass = labels.groupBy(*key, "cluster").agg(F.sum("k").alias("mass"))
+            near = graph.filter("a <> b").join(labels.select(*key, F.col("node").alias("b"), "cluster"), [*key, "b"]).select(*key, F.col("a").alias("node"), "cluster", "w")
+            votes = near.unionByName(labels.select(*key, "node", "cluster", F.lit(0.0).alias("w"))).groupBy(*key, "node", "cluster").agg(F.sum("w").alias("w"))
+            own = F.col("cluster") == F.col("own")
+            ranked = votes.join(mass, [*key, "cluster"]).join(labels.select(*key, "node", "k", F.col("cluster").alias("own")), [*key, "node"])
+            gain = F.col("w") - F.col("resolution") * F.col("k") * (F.col("mass") - F.when(own, F.col("k")).otherwise(0.0)) / total
+            best = F.min_by("cluster", F.struct((-F.round(gain, 9)).alias("g"), (~own).alias("o"), F.col("cluster")))
+            moves = F.pmod(F.xxhash64("node", "seed", F.lit(level), F.lit(r)), F.lit(2)) == 0
+            chosen = ranked.groupBy(*key, "node", "k", "own").agg(best.alias("best"))
+            labels = chosen.select(*key, "node", "k", F.when(moves, F.col("best")).otherwise(F.col("own")).alias("cluster")).checkpoint()
+        members = members.select(*key, F.col("node").alias("first"), F.col("cluster").alias("node")).join(labels.select(*key, "node", "cluster"), [*key, "node"]).select(*key, F.col("first").alias("node"), "cluster").checkpoint()
+        if level + 1 < levels:
+            of = labels.select(*key, "node", "cluster")
+            graph = graph.join(of.withColumnRenamed("node", "a").withColumnRenamed("cluster", "x"), [*key, "a"]).join(of.withColumnRenamed("node", "b").withColumnRenamed("cluster", "y"), [*key, "b"])
+            graph = graph.groupBy(*key, F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")).checkpoint()
+            labels = labels.groupBy(*key, F.col("cluster").alias("node")).agg(F.sum("k").alias("k")).withColumn("cluster", F.col("node"))
+    return members
+
+
+def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """resolution, seed, n_clusters, modularity of partitions of `modularity_grid`."""
+    key = ["resolution", "seed"]
+    both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    of = members.select(*key, "node", "cluster")
+    ends = both.join(of.withColumnRenamed("node", "a").withColumnRenamed("cluster", "x"), "a").join(of.withColumnRenamed("node", "b").withColumnRenamed("cluster", "y"), [*key, "b"])
+    by = ends.groupBy(*key, F.col("x").alias("cluster")).agg(F.sum("w").alias("k"), F.sum(F.when(F.col("x") == F.col("y"), F.col("w")).otherwise(0.0)).alias("inner"))
+    out = by.groupBy(*key).agg(F.count("*").alias("n_clusters"), F.sum("inner").alias("inner"), F.sum("k").alias("total"), F.sum(F.col("k") * F.col("k")).alias("squares"))
+    return out.select(*key, "n_clusters", (F.col("inner") / F.col("total") - F.col("resolution") * F.col("squares") / F.col("total") / F.col("total")).alias("modularity"))
+
+
 def majority_refinement(labels: DataFrame, neighbors: DataFrame) -> DataFrame:
     """node, cluster: a node whose label less than half of its neighbours share takes their most frequent one (the smallest of equals)."""
     of = labels.select(F.col("node").alias("n"), F.col("cluster").alias("other"))

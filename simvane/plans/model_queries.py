@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simvane.operators import integrity, models, perturb
+from simvane.operators import integrity, models, panels, perturb
 from simvane.operators import knn as N
 from simvane.plans.tables import cells, table
 from simvane.streaming import ingest
@@ -34,6 +34,19 @@ def propagated_labels(spark: SparkSession, sf: str) -> DataFrame:
     return models.label_propagation(models.fuzzy_affinity(N.exact_neighbors(cells(spark, sf), 15)), 4)
 
 
+def modularity_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of the affinity graph over a grid of resolutions and seeds: their number, their modularity, and whether the number is nearest to that of the labels."""
+    from simvane.sources.sinks import checkpoint_folder
+
+    checkpoint_folder(spark)
+    c = cells(spark, sf)
+    edges = models.fuzzy_affinity(N.exact_neighbors(c, 15)).checkpoint()
+    grid = models.modularity(edges, models.modularity_grid(edges, [0.5, 1.0, 2.0], [0, 1], 4)).checkpoint()
+    n_labels = c.select("label").distinct().count()
+    picked = panels.count_match(grid, "seed", "resolution", "n_clusters", n_labels).select("seed", "resolution", F.lit(True).alias("matched"))
+    return grid.join(picked, ["seed", "resolution"], "left").select("resolution", "seed", "n_clusters", _r("modularity"), F.coalesce("matched", F.lit(False)).alias("matched"))
+
+
 def scaled_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return models.scaled(cells(spark, sf), clip=1.5).select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
@@ -98,4 +111,4 @@ SELECT id AS node, (CASE WHEN coalesce(o.c, 0) * 2 < 6 AND top_c * 2 > 6 THEN to
     "repaired_vectors": f"WITH {_E} SELECT id, list_transform(v, lambda z: round(CASE WHEN z > 0.2 THEN 0 ELSE z END, 6)) AS v FROM e",
 }
 
-QUERIES = {f.__name__: f for f in (pca32, kmeans_clusters, fuzzy_affinity, propagated_labels, scaled_vectors, hex_refinement, windowed_event_counts, asof_events, fixed_sample, feature_variance, repaired_vectors)}
+QUERIES = {f.__name__: f for f in (pca32, kmeans_clusters, fuzzy_affinity, propagated_labels, modularity_grid, scaled_vectors, hex_refinement, windowed_event_counts, asof_events, fixed_sample, feature_variance, repaired_vectors)}

@@ -251,6 +251,22 @@ def test_affinity_and_propagation(spark):
     assert {r.node: r.cluster for r in models.majority_refinement(labels, around).collect()}[0] == 7
 
 
+def test_modularity_clusters(spark):
+    rng = random.Random(2)
+    pairs = [(i, j, 1.0 if i // 10 == j // 10 else 0.05) for i in range(30) for j in range(i) if i // 10 == j // 10 or rng.random() < 0.1]
+    edges = spark.createDataFrame([(j, i, w) for i, j, w in pairs], "a long, b long, w double")
+    sinks.checkpoint_folder(spark)
+    members = models.modularity_grid(edges, [1.0], [0], 5)
+    assert members.count() == 30
+    planted = spark.createDataFrame([(1.0, 1, i, i // 10) for i in range(30)], "resolution double, seed long, node long, cluster long")
+    got = {r.seed: r for r in models.modularity(edges, members.unionByName(planted)).collect()}
+    total = 2 * sum(w for _, _, w in pairs)
+    strength = [sum(w * ((i // 10 == g) + (j // 10 == g)) for i, j, w in pairs) for g in range(3)]
+    inner = 2 * sum(w for i, j, w in pairs if i // 10 == j // 10)
+    assert got[1].modularity == pytest.approx(inner / total - sum((k / total) ** 2 for k in strength))
+    assert got[0].modularity > 0.75 * got[1].modularity and 3 <= got[0].n_clusters <= 6
+
+
 def test_pca_and_scaling(spark):
     df = spark.createDataFrame([(i, [float(i), 2.0 * i, 1.0]) for i in range(10)], "id long, v array<double>")
     p = [r.v[0] for r in models.principal_components(df, 1).orderBy("id").collect()]
