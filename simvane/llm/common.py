@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -81,6 +83,13 @@ def text_mark(text: str | Column) -> Column:
     return F.xxhash64(F.lit(20), F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+def tidy() -> None:
+    """Gives memory that is no longer used back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     if batch.num_rows > 1 and batch.nbytes > BATCH_BYTES:
         half = batch.num_rows // 2
@@ -101,6 +110,6 @@ def per_batch(make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.Rec
                     yield made
                 else:
                     yield from made
-        pa.default_memory_pool().release_unused()  # the worker waits for its next task, which may be another operator's
+        tidy()  # the worker waits for its next task, which may be another operator's
 
     return over

@@ -53,13 +53,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simvane.llm import textkit as K
-from simvane.llm.common import NO_ID, drop_folder, id_or_last, integer_id, per_batch, row_mark, shared_folder, stored, text_mark
+from simvane.llm.common import NO_ID, drop_folder, id_or_last, integer_id, per_batch, row_mark, shared_folder, stored, text_mark, tidy
 
 BANDS, ROWS = 28, 4
 SHINGLE = 5
 #: Documents, and elements of their sets, that a block of a comparison has at most, but for its luck in the dealing and for one longer document.
 BLOCK = 1000
 BLOCK_ELEMENTS = 1 << 20
+#: Text of a block after which a worker gives its memory back.
+TIDY_BYTES = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LATE = np.uint64(2**64 - 1)
 
@@ -253,6 +255,8 @@ def _grouped(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands:
                 for name, value in zip(out, (i, len(s), inter, bool(linked(inter, len(s), len(core))), s[~hit].tobytes()), strict=True):
                     out[name].append(value)
         kinds = {"ok": pa.bool_(), "rest": pa.binary()}
+        if block.nbytes > TIDY_BYTES:
+            tidy()
         return pa.table({"hub": pa.array([hub] * len(out["node"]), pa.int64())} | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
     compared = texts.groupBy("hub", "salt").applyInArrow(compare, "hub long, node long, n long, inter long, ok boolean, rest binary")
@@ -332,6 +336,8 @@ def _grouped(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, bands:
                         right.append(int(node[j]))
                 if len(reached):
                     root[np.isin(root, reached)] = root[i]
+        if block.nbytes > TIDY_BYTES:
+            tidy()
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     more = dealt.groupBy("hub", "pa", "pb").applyInArrow(cross, "a long, b long")
