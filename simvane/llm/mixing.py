@@ -187,6 +187,10 @@ class Mix:
         return by.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slot", "source", "mark", "nth")
 
 
+def _id_mark(id_: Column) -> Column:
+    return F.xxhash64(F.lit(23), id_, id_.isNull())
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, with the columns of docs; the last copy of a row taken in part holds its first words, joined by one space.
 
@@ -199,9 +203,10 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     mix = Mix(docs, own=row_mark(docs), **options)
     # what a pass takes of a row: all words or, at the end of the target, the first ones
     copies = mix.pieces.filter("slot is not null").groupBy("source", "doc_id", "mark", "own", "nth", "pass").agg(F.max("size").alias("size"), F.sum(F.col("to_word") - F.col("from_word")).alias("words"), F.min("slot").alias("slot"))
-    # equal rows are one row with the copies of all; the row is a struct, so its names clash with none
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("row_id"), row_mark(docs).alias("row_mark")).dropDuplicates(["row_id", "row_mark"])
-    joined = rows.join(copies, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_mark") == F.col("own"))).select("row", "size", "slot", "words")
+    # equal rows are one row with the copies of all; the row is a struct, so its names clash with none, and the keys are never null, so both sides are dealt alike
+    keys = ["row_mark", "id_mark"]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_mark(docs).alias("row_mark"), _id_mark(docs[id_col]).alias("id_mark")).dropDuplicates(keys)
+    joined = rows.join(copies.select(F.col("own").alias("row_mark"), _id_mark(F.col("doc_id")).alias("id_mark"), "size", "slot", "words"), keys).select("row", "size", "slot", "words")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_slots = mix.slots.agg(F.max("slot")).first()[0] or 0
     stretch = max(1, -(-(n_slots + 1) // (4 * parts)))
