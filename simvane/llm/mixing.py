@@ -176,8 +176,9 @@ class Mix:
             return rank * F.col("short") + F.least(rank, F.col("long_blocks"))
 
         ranks = F.when(F.col("lo") < F.col("hi"), F.sequence(rank_of(F.col("lo")), rank_of(F.col("hi") - 1)))
-        # one row stays of a pass that takes nothing
-        passes = passes.withColumn("rank", F.explode_outer(ranks)).filter("rank is not null or pass = 0").join(self.slots, ["source_no", "rank"], "left")
+        # one row stays of a row that is not taken, under ranks that no slot has, so that such rows don't meet in one task
+        passes = passes.withColumn("rank", F.explode_outer(ranks)).filter("rank is not null or pass = 0").withColumn("rank", F.coalesce("rank", -1 - F.pmod("at", F.lit(1 << 20))))
+        passes = passes.join(self.slots, ["source_no", "rank"], "left")
         start, end = F.greatest(F.col("lo"), begin_of(F.col("rank"))), F.least(F.col("hi"), begin_of(F.col("rank") + 1))
         self.pieces = passes.select("doc_id", "source", "mark", "own", "nth", "size", "source_size", "target", "slot", "pass", *(F.when(F.col("slot").isNotNull(), x - F.col("lo")).alias(c) for x, c in ((start, "from_word"), (end, "to_word"))))
 
