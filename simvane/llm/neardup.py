@@ -152,7 +152,8 @@ def components(links: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
     for k in range(rounds):
         both = edges.select(F.col("lo").alias("x"), F.col("hi").alias("y")).unionByName(edges.select(F.col("hi").alias("x"), F.col("lo").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").filter("y > x").select(F.col("m").alias("lo"), F.col("y").alias("hi")).filter("lo <> hi").distinct()
+        # dealt by hi once, which serves the distinct pairs, the smallest of each and the join with it
+        large = both.join(least, "x").filter("y > x").select(F.col("m").alias("lo"), F.col("y").alias("hi")).filter("lo <> hi").repartition("hi").dropDuplicates(["hi", "lo"])
         # small-star: neighbours not above a node, and the node itself, hang on the smallest of them
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
         hung = large.join(small, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionByName(small.select(F.col("m").alias("lo"), "hi"))
