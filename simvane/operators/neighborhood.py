@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -50,33 +52,38 @@ def ilisi(neighbors: DataFrame, batches: DataFrame, perplexity: float = 30.0, id
     lists = lists.select("q", F.transform("near", lambda x: x["d"]).alias("d"), F.transform("near", lambda x: x["batch"]).alias("batch"))
     kind = lists.schema["q"].dataType.simpleString()
 
-    def solve(batches_: object) -> object:
+    def solve(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_:
-            out = []
-            for d, names in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                w = perplexity_weights(np.asarray(d, float), perplexity)
-                _, code = np.unique(np.asarray(names, str), return_inverse=True)
-                p = np.bincount(code, weights=w)
-                out.append(float(1.0 / (p * p).sum()) if p.sum() > 0 else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["q", "lisi"])
+            sizes = np.diff(b.column(1).offsets.to_numpy())
+            d, names = b.column(1).flatten().to_numpy(zero_copy_only=False), np.asarray(b.column(2).flatten().to_pylist(), str)
+            starts, out = np.concatenate(([0], np.cumsum(sizes))), np.full(len(sizes), np.nan)
+            _, code = np.unique(names, return_inverse=True)
+            for k in np.unique(sizes[sizes > 0]).tolist():
+                rows = np.flatnonzero(sizes == k)
+                at = starts[rows][:, None] + np.arange(k)
+                share = np.zeros((len(rows), int(code.max()) + 1))
+                np.add.at(share, (np.arange(len(rows))[:, None], code[at]), perplexity_weights(d[at], perplexity))
+                out[rows] = 1.0 / (share * share).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, from_pandas=True)], names=["q", "lisi"])
 
     return lists.mapInArrow(solve, f"q {kind}, lisi double")
 
 
-def perplexity_weights(d: np.ndarray, perplexity: float, tolerance: float = 1e-5, steps: int = 200) -> np.ndarray:
-    """Weights proportional to exp(-beta * d), beta found by bisection."""
-    lo, hi, beta, goal = 0.0, np.inf, 1.0, np.log(perplexity)
-    w = np.full(len(d), 1.0 / max(1, len(d)))
+def perplexity_weights(d: np.ndarray, perplexity: float, tolerance: float = 1e-5, steps: int = 100) -> np.ndarray:
+    """Weights of rows of distances, proportional to exp(-beta * d); the betas are found by halving until the entropy of a row's weights is log(perplexity)."""
+    lo, hi, beta, goal = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d)), np.log(perplexity)
+    gap, open_ = d - d.min(axis=1, keepdims=True), np.ones(len(d), bool)
     for _ in range(steps):
-        e = np.exp(-beta * (d - d.min())) if len(d) else d
-        w = e / e.sum()
-        entropy = float(-(w * np.log(np.maximum(w, 1e-300))).sum())
-        if abs(entropy - goal) < tolerance:
+        w = np.exp(-beta[:, None] * gap)
+        w /= w.sum(axis=1, keepdims=True)
+        entropy = -(w * np.log(np.maximum(w, 1e-300))).sum(axis=1)
+        open_ &= np.abs(entropy - goal) >= tolerance
+        if not open_.any():
             break
-        if entropy > goal:
-            lo, beta = beta, beta * 2 if hi == np.inf else (beta + hi) / 2
-        else:
-            hi, beta = beta, (beta + lo) / 2
+        above, below = open_ & (entropy > goal), open_ & (entropy <= goal)
+        lo[above], hi[below] = beta[above], beta[below]
+        with np.errstate(invalid="ignore"):
+            beta = np.where(above, np.where(np.isinf(hi), beta * 2, (beta + hi) / 2), np.where(below, (beta + lo) / 2, beta))
     return w
 
 

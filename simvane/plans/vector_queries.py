@@ -234,6 +234,14 @@ p2 AS (SELECT q, avg((qe.label = ne.label)::INT) AS after FROM n2 JOIN e qe ON q
 r AS (SELECT label, purity AS before, after, coalesce(jaccard, 0) AS jaccard FROM pur JOIN p2 USING (q) LEFT JOIN jac USING (q))
 SELECT coalesce(label::VARCHAR, '__ALL__') AS label, round(avg(before), 6) AS before, round(avg(after), 6) AS after, round(avg(after - before), 6) AS delta, round(avg(jaccard), 6) AS stability FROM r GROUP BY ROLLUP (r.label)""",
     "d_batch": f"WITH {E}, {_knn_sql(89)}, m AS (SELECT q, batch FROM nn JOIN e ON id = n UNION ALL SELECT id, batch FROM e), c AS (SELECT q, batch, count(*) AS c FROM m GROUP BY 1, 2) SELECT q, round(sum(c) * sum(c) / sum(c * c), 6) AS d_batch FROM c GROUP BY 1",
+    "ilisi": f"""WITH RECURSIVE {E}, {_knn_sql(90)}, rows AS (SELECT q, list(d - near ORDER BY rank) AS gap FROM (SELECT *, min(d) OVER (PARTITION BY q) AS near FROM nn) GROUP BY 1),
+steps AS (SELECT q, gap, 0::DOUBLE AS lo, 'infinity'::DOUBLE AS hi, 1::DOUBLE AS beta, false AS done, 0 AS step FROM rows
+UNION ALL SELECT q, gap, CASE WHEN NOT fine AND h > ln(30) THEN beta ELSE lo END, CASE WHEN NOT fine AND h <= ln(30) THEN beta ELSE hi END,
+CASE WHEN fine THEN beta WHEN h > ln(30) THEN CASE WHEN hi = 'infinity' THEN beta * 2 ELSE (beta + hi) / 2 END ELSE (beta + lo) / 2 END, fine, step + 1
+FROM (SELECT *, done OR abs(h - ln(30)) < 1e-5 AS fine FROM (SELECT *, ln(total) + beta * list_sum(list_transform(gap, lambda g: g * exp(-beta * g))) / total AS h FROM (SELECT *, list_sum(list_transform(gap, lambda g: exp(-beta * g))) AS total FROM steps WHERE step < 60)))),
+w AS (SELECT q, beta FROM steps WHERE step = 60), p AS (SELECT nn.q, b.batch, sum(exp(-beta * (d - near))) AS x FROM (SELECT *, min(d) OVER (PARTITION BY q) AS near FROM nn) nn JOIN w USING (q) JOIN e b ON b.id = n GROUP BY 1, 2),
+l AS (SELECT q, sum(x) * sum(x) / sum(x * x) AS lisi FROM p GROUP BY 1)
+SELECT round((quantile_cont(lisi, 0.5) - 1) / ((SELECT count(DISTINCT batch) FROM e) - 1), 6) AS score, 'ok' AS status FROM l""",
     "median_kth_radius": f"WITH {E}, {_knn_sql(15)} SELECT round(quantile_cont(d, 0.5), 6) AS median_radius FROM nn WHERE rank = 15",
     "target_fraction_at_k": f"WITH {E}, {_knn_sql(30)}, {_PUR} SELECT count(*) AS n, round(avg(purity), 6) AS fraction FROM pur WHERE label = 0",
     "rare_recall_at_k": f"""WITH {E}, {_knn_sql(30)}, s AS (SELECT label, count(*) AS n FROM e GROUP BY 1 HAVING count(*) <= 0.1 * (SELECT count(*) FROM e)),
