@@ -107,6 +107,12 @@ def measure(data: np.ndarray, offsets: np.ndarray, gram_limits: Mapping[int, flo
     return out
 
 
+def _checked(gram_limits: Mapping[int, float]) -> dict[int, float]:
+    if any(n < 3 for n in gram_limits):
+        raise ValueError("n-grams have 3 words at least, as repeats are looked for from the base rule's 3-word windows on")
+    return dict(gram_limits)
+
+
 def _measured(texts: pa.Array, gram_limits: Mapping[int, float], line_limit: float) -> dict[str, np.ndarray]:
     parts = [measure(data, offsets, gram_limits, line_limit) for _, _, data, offsets in K.chunks(texts)]
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
@@ -114,7 +120,7 @@ def _measured(texts: pa.Array, gram_limits: Mapping[int, float], line_limit: flo
 
 def quality_signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_limits: Mapping[int, float] = GRAM_LIMITS, line_limit: float = LINE_LIMIT) -> DataFrame:
     """One row for each row of docs: its id, the base counts, the characters inside repeated n-grams and lines, and the verdict."""
-    limits = dict(gram_limits)
+    limits = _checked(gram_limits)
 
     def signals(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _measured(batch.column(1), limits, line_limit)
@@ -133,7 +139,7 @@ def quality_signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def quality_filter(docs: DataFrame, text_col: str = "text", gram_limits: Mapping[int, float] = GRAM_LIMITS, line_limit: float = LINE_LIMIT) -> DataFrame:
     """The rows of docs, with all their columns, that the rules keep."""
-    limits, at = dict(gram_limits), docs.columns.index(text_col)
+    limits, at = _checked(gram_limits), docs.columns.index(text_col)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pc.filter(batch, pa.array(_measured(batch.column(at), limits, line_limit)["kept"]))

@@ -473,6 +473,43 @@ def test_dropping_near_duplicates(odd):
     assert kept[8] == 0 and kept[7] == 1 and kept[None] == 1 + texts.count(None)
 
 
+#: Names that the operators use inside.
+INNER = "row d mark own key n nth places at slot size words copies row_mark id_mark source_no bucket rank lo hi begin cell part root least node hub n_lines n_removed n_lines_ n_removed_ size_ taken_ row_ nth_ words_ cut_ d_ mark_ kept_ n_ kept".split()
+
+
+def test_clashing_names_and_many_repeats(spark):
+    """Columns with every inner name; 2000 repeats of a row; 2000 rows without an id, some of one text."""
+    base = " ".join(f"w{i}" for i in range(60))
+    lines_ = "one two\nthree four\nfive six\nseven"
+    rows = [(5, lines_, "a")] * 2000 + [(None, lines_ if k % 2 else f"{lines_} {k}\n{base}", "b") for k in range(2000)] + [(6, base, "a"), (7, base + " end", "c"), (8, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *(F.lit(f"x{k}").alias(c) for k, c in enumerate(INNER))).repartition(4)
+    marks = F.concat_ws("|", *INNER)
+    for made in (lines.dedup_documents(df), neardup.drop_near_duplicates(df), mixing.mix_documents(df, slots=500)):
+        assert made.columns == df.columns
+        assert [r[0] for r in made.select(marks).distinct().collect()] == ["|".join(f"x{k}" for k in range(len(INNER)))]
+    with pytest.raises(ValueError):
+        lines.dedup_lines(df)
+    out = lines.dedup_lines(df, counts=("lines", "gone")).groupBy("doc_id", "text").count().collect()
+    assert {(r.doc_id, r.text): r["count"] for r in out}[5, lines_] == 1  # one of the repeats stays whole
+    kept = neardup.drop_near_duplicates(df.drop(*INNER)).collect()
+    assert sum(r.text == lines_ for r in kept) == 1 and sum(r.text is None for r in kept) == 1
+    groups = neardup.near_duplicates(df).groupBy("component_id").count().collect()
+    assert {r.component_id: r["count"] for r in groups}[5] >= 3000
+    counts = collections.Counter(r.shard for r in shards.place(df, shards=7, vnodes=3, cells=64).collect())
+    assert max(counts.values()) - min(counts.values()) <= 1
+    (taken,) = mixing.Mix(df.drop(*INNER), slots=500).taken().agg(F.sum("taken"), F.max(F.col("taken") - 2 * F.col("size")), F.count("*")).collect()
+    assert taken[2] == len(rows) and taken[1] <= 0
+
+
+def test_ids_must_be_integers(spark):
+    df = spark.createDataFrame([("a", "x y z", "s")], "doc_id string, text string, source string")
+    for f in (lines.line_digests, substrings.substring_digests, neardup.near_duplicates, neardup.drop_near_duplicates):
+        with pytest.raises(TypeError, match="integer"):
+            f(df)
+    with pytest.raises(ValueError):
+        quality.quality_signals(df, gram_limits={2: 0.1})
+
+
 def test_components(spark):
     from simvane.llm.common import shared_folder
 
