@@ -8,12 +8,12 @@ same way, where more words are unique. Coverage is the share of the template's
 words that are aligned.
 
 A template of n words is looked for in every window of `spread` * n words (rounded
-up) of the text: its words may have that many foreign ones among them, but not lie
-scattered over a long text. A window is looked at from each place where a word of
-the template stands, which loses nothing: an alignment that fits a window also fits
-the one that begins at its first word. A window that holds too few of the template's
-words, counted with their repeats, to reach the limit or to beat the best one so far
-is skipped; that bound is exact. The best window counts, the first of equals.
+up) of the text or fewer: its words may have that many foreign ones among them, but not
+lie scattered over a long text. Windows that begin and end at words of the template
+are all there are to look at, as foreign words at an end align with nothing. A window
+that holds too few of the template's words, counted with their repeats, to reach the
+limit or to beat the best one so far is skipped, and so are those inside it from the
+same place; that bound is exact. The best window counts, the first of equals.
 
 A window that holds a notice twice has few anchors or none. Where the alignment
 finds fewer words than the window's bound allows, the window is also cut at repeated
@@ -177,14 +177,21 @@ def scan_text(text: str, templates: Mapping[str, list[str]], limit: float, sprea
         if not n or sum(c for w, c in counts.items() if w in have) < limit * n:
             continue
         best = (0, 0, 0)
-        for a, b, most in windows(words, [i for i, w in enumerate(words) if w in counts], counts, ceil(spread * n)):
-            if most < limit * n or most <= best[0]:
-                continue
-            run = aligned(words[a:b], template, counts, most, limit * n)
-            if len(run) > best[0]:
-                best = (len(run), a + run[0][0], a + run[-1][0] + 1)
-                if best[0] == n:
-                    break
+        places = [i for i, w in enumerate(words) if w in counts]
+        for a, b, most in windows(words, places, counts, ceil(spread * n)):
+            # shorter windows from the same place may have more unique words; each end at a template word is tried while its bound allows more
+            held = Counter(w for w in words[a:b] if w in counts)
+            last = bisect_left(places, b) - 1
+            while most >= limit * n and most > best[0]:
+                run = aligned(words[a : places[last] + 1], template, counts, most, limit * n)
+                if len(run) > best[0]:
+                    best = (len(run), a + run[0][0], a + run[-1][0] + 1)
+                w = words[places[last]]
+                most -= held[w] <= counts[w]
+                held[w] -= 1
+                last -= 1
+            if best[0] == n:
+                break
         if best[0] and best[0] >= limit * n:
             out.append((name, best[0] / n, *best))
     return out
