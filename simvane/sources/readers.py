@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from simvane.functions import scalars as S
 from simvane.operators.integrity import IntegrityError
 
 POSITIONS = "barcode string, in_tissue int, array_row bigint, array_col bigint, pxl_row bigint, pxl_col bigint"
