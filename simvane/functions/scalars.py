@@ -97,6 +97,12 @@ def signed(x: Column | str, digits: int = 3) -> Column:
     return F.format_string(f"%+.{digits}f", _c(x))
 
 
+def rounded(x: Column | str, digits: int = 6) -> Column:
+    """x to so many places as round() of SQL engines gives it: halves go away from 0, and what becomes 0 keeps its sign, which F.round drops."""
+    x, unit = _c(x), F.lit(10.0**digits)
+    return F.when(F.abs(x * unit) < 0.5, x * 0.0).when(F.abs(x * unit) == float("inf"), x).otherwise(F.round(x * unit) / unit)
+
+
 def leading(vector: Column | str, n: int) -> Column:
     """The first n components."""
     return F.slice(_c(vector), 1, n)

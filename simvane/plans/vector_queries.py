@@ -176,7 +176,7 @@ def batch_simplex_shift(spark: SparkSession, sf: str) -> DataFrame:
 
 def local_warp(spark: SparkSession, sf: str) -> DataFrame:
     moved = perturb.local_warp(cells(spark, sf), "label", 0, "batch", F.col("v")[0], [0.0, 1.0] + [0.0] * 62, 2.0, 0.1)
-    return moved.select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return moved.select("id", F.transform("v", lambda x: S.rounded(x)).alias("v"))
 
 
 def counterfactual_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
