@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simvane.functions import scalars as S
 from simvane.operators import integrity, models, panels, perturb
 from simvane.operators import knn as N
 from simvane.plans.tables import cells, table
@@ -80,7 +81,7 @@ def feature_variance(spark: SparkSession, sf: str) -> DataFrame:
 
 def repaired_vectors(spark: SparkSession, sf: str) -> DataFrame:
     hurt = cells(spark, sf).withColumn("v", F.transform("v", lambda x: F.when(x > 0.2, F.lit(float("nan"))).otherwise(x)))
-    return hurt.select("id", F.transform(integrity.repair_vector("v"), lambda x: F.round(x, 6)).alias("v"))
+    return hurt.select("id", F.transform(integrity.repair_vector("v"), lambda x: S.rounded(x)).alias("v"))
 
 
 _E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, list_position(embedding[1:8], list_max(embedding[1:8])) - 1 AS cluster FROM embeddings)"
