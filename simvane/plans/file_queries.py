@@ -32,7 +32,7 @@ def embedding_file(spark: SparkSession, sf: str) -> DataFrame:
     at = f"{K.shared_folder(spark)}/embedding"
     named = cells(spark, sf).select(F.lpad(F.col("id").cast("string"), 8, "0").alias("cell_id"), "v")
     K.write_embedding_csv(named, at, 64)
-    return R.embedding_csv(spark, at, 64, named.select("cell_id")).select("cell_id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return R.embedding_csv(spark, at, 64, named.select("cell_id")).select("cell_id", F.transform("v", lambda x: S.rounded(x)).alias("v"))
 
 
 def manifest_file(spark: SparkSession, sf: str) -> DataFrame:
