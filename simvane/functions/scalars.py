@@ -49,8 +49,9 @@ def split_list(x: Column | str) -> Column:
     return F.filter(parts, lambda p: ~F.lower(p).isin(*MISSING_TOKENS))
 
 
-def year_in(x: Column | str) -> Column:
-    return F.try_to_number(F.nullif(F.regexp_extract(_c(x), r"(\d{4})", 1), F.lit("")), F.lit("9999")).cast("int")
+def year_in(x: Column | str, most: int = 4) -> Column:
+    """The first number of four digits; with `most`, of up to so many digits, all of them taken."""
+    return F.try_to_number(F.nullif(F.regexp_extract(_c(x), rf"(\d{{4,{most}}})", 1), F.lit("")), F.lit("9" * most)).cast("int")
 
 
 def ontology_id(x: Column | str) -> Column:
