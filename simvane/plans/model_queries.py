@@ -49,7 +49,7 @@ def modularity_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scaled_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return models.scaled(cells(spark, sf), clip=1.5).select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return models.scaled(cells(spark, sf), clip=1.5).select("id", F.transform("v", lambda x: S.rounded(x)).alias("v"))
 
 
 def hex_refinement(spark: SparkSession, sf: str) -> DataFrame:

@@ -25,7 +25,7 @@ def bits(v):
     return tuple(map(bits, v)) if isinstance(v, (list, tuple)) else v.hex() if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["local_warp", "repaired_vectors", "embedding_file", "header_sanitize_scalars"])
+@pytest.mark.parametrize("name", ["local_warp", "repaired_vectors", "scaled_vectors", "embedding_file", "header_sanitize_scalars"])
 def test_same_bits(spark, odd, name):
     con = duckdb.connect()
     for t in ("embeddings", "pages"):
