@@ -15,7 +15,8 @@ characters gets a heap of its own. The new segments are also given to the
 sentencepiece library, and the task fails if an id differs.
 
 Plan: one scan and one Arrow map, no shuffle. Besides the batch, a worker holds
-at most 2 * CACHE words and segments of at most LONGEST characters.
+at most 2 * CACHE words and segments of at most LONGEST characters and those of the
+batch, and gives them and the model back when its task ends.
 
 Defined results: a null text counts as empty; an empty text has just the begin
 and end ids and decodes to ""; rows that repeat an id are encoded one by one; an
@@ -34,16 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from simvane.llm.common import per_batch
+from simvane.llm.common import per_batch, tidy
 
 MARK = "▁"
-CACHE = 100_000
+CACHE = 30_000
 NONE = np.int32(2**31 - 1)
 #: Classes of characters that are told apart where a text is cut.
 CLASSES = 2048
 LONGEST = 40
 #: Characters of text that are worked on together.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 
 
 class PieceModel:
@@ -391,7 +392,7 @@ _MODELS: dict[str, PieceModel] = {}
 
 
 def model_of(proto: bytes) -> PieceModel:
-    """One model, with its cache, for each worker process."""
+    """One model, with its cache, for each task."""
     key = hashlib.sha256(proto).hexdigest()
     if key not in _MODELS:
         _MODELS.clear()
@@ -399,6 +400,12 @@ def model_of(proto: bytes) -> PieceModel:
     return _MODELS[key]
 
 
+def let_go() -> None:
+    """Drops the model at a task's end: the worker may wait long beside others. A function of the module, as what tasks refer to directly is a copy."""
+    _MODELS.clear()
+    tidy()
+
+
 def read_model(path: str) -> bytes:
     """The model file, read on the driver; tasks get its bytes (under a megabyte)."""
     with open(path, "rb") as file:
@@ -429,8 +436,12 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, proto: bytes, fields: l
             columns = [batch.column(0).slice(at, len(rows)), *(pa.array(list(x), kind) for x, (_, _, kind) in zip(zip(*rows, strict=True), fields, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, *(f[0] for f in fields)])
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from per_batch(run)(batches)
+        let_go()
+
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t, _ in fields)])
-    return docs.select(id_col, text_col).mapInArrow(per_batch(run), schema)
+    return docs.select(id_col, text_col).mapInArrow(task, schema)
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
